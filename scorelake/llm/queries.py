@@ -9,9 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents
+from . import license_scan as licences
+from .license_scan import license_scan
 from .line_dedup import line_dedup
 from .media import media_columns
 from .packing import pack
+from .quality import held_out, quality_scores, train
 from .sharding import reshard
 from .token_count import token_counts
 
@@ -31,6 +34,11 @@ def bpe_pattern() -> str:
     return public_tokenizers.PATTERN
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = license_scan(documents(spark, sf_dir).select("doc_id", "text"))
+    return out.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(documents(spark, sf_dir), vocabulary("piece_bpe_32k.model"))
 
@@ -48,6 +56,13 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"), bpe_pattern())
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    scored = quality_scores(docs, model, keep=["doc_id"])
+    return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", "predicted")
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The layout before: one file for each of 16 groups of sources, so a hot source makes one shard far too large."""
     before = F.pmod(F.crc32(F.encode(F.coalesce("source", F.lit("")), "utf-8")), F.lit(16))
@@ -58,7 +73,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_token_counts, op3_media_columns, op4_line_dedup, op5_packing, op10_sharding)}
+    return {f.__name__: f for f in (op1_license_scan, op2_token_counts, op3_media_columns, op4_line_dedup, op5_packing, op7_quality, op10_sharding)}
 
 
 OP4_SQL = r"""
@@ -84,4 +99,4 @@ FROM marked GROUP BY doc_id
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_line_dedup": OP4_SQL}
+    return {"op1_license_scan": licences.oracle_sql(), "op4_line_dedup": OP4_SQL}
