@@ -13,6 +13,7 @@ from . import license_scan as licences
 from .license_scan import license_scan
 from .line_dedup import line_dedup
 from .media import media_columns
+from .ngram_join import near_duplicates
 from .packing import pack
 from .quality import held_out, quality_scores, train
 from .sharding import reshard
@@ -56,6 +57,10 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"), bpe_pattern())
 
 
+def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(documents(spark, sf_dir))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
@@ -73,7 +78,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_license_scan, op2_token_counts, op3_media_columns, op4_line_dedup, op5_packing, op7_quality, op10_sharding)}
+    return {f.__name__: f for f in (op1_license_scan, op2_token_counts, op3_media_columns, op4_line_dedup, op5_packing, op6_ngram_join, op7_quality, op10_sharding)}
 
 
 OP4_SQL = r"""

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Size classes in an octave, and about how many rows one bucket of a block may hold.
-CLASSES, BUCKET_ROWS = 4, 200_000
+CLASSES, BUCKET_ROWS = 4, 5_000
 
 
 def min_cost_flow(edges: list[tuple[int, int, int, float]], source: int, sink: int, nodes: int) -> list[int]:
