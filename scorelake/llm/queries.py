@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .common import documents
 from . import license_scan as licences
+from .decontaminate import contaminated
 from .license_scan import license_scan
 from .line_dedup import line_dedup
 from .media import media_columns
@@ -68,6 +69,10 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", "predicted")
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The layout before: one file for each of 16 groups of sources, so a hot source makes one shard far too large."""
     before = F.pmod(F.crc32(F.encode(F.coalesce("source", F.lit("")), "utf-8")), F.lit(16))
@@ -78,7 +83,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_license_scan, op2_token_counts, op3_media_columns, op4_line_dedup, op5_packing, op6_ngram_join, op7_quality, op10_sharding)}
+    return {f.__name__: f for f in (op1_license_scan, op2_token_counts, op3_media_columns, op4_line_dedup, op5_packing, op6_ngram_join, op7_quality, op9_decontamination, op10_sharding)}
 
 
 OP4_SQL = r"""
