@@ -68,6 +68,12 @@ def _packed(bits: list[Column]) -> Column:
     return out
 
 
+def computed(df: DataFrame, **columns: Column) -> DataFrame:
+    """df with columns that later filters read as values: a filter on a generated column doesn't repeat its expression."""
+    made = F.struct(*(c.alias(name) for name, c in columns.items()))
+    return df.select("*", F.explode(F.array(made)).alias("__made")).select(*df.columns, "__made.*")
+
+
 def choose_anchors(words: list[str], frequency: dict[str, int]) -> list[str]:
     parts = {tuple(words[j : j + WORDS]) for j in range(len(words) - WORDS + 1)}
     size = {p: len(" ".join(p)) for p in parts}
@@ -111,22 +117,25 @@ def _matches(texts: DataFrame, items: list[tuple[int, list[str]]]) -> DataFrame:
     places = held.select("h1", "h2", F.explode(F.flatten(F.transform(matched, regions))).alias("p")).select("h1", "h2", "p.*")
     # copies of a text end here; this also deals the places out evenly
     places = places.withColumn("pos", F.col("start") + F.col("at")).dropDuplicates(["h1", "h2", "pos"])
-    found = places.join(F.broadcast(table), "word").withColumn("parts", shingles_of(F.col("region")))
+    places = computed(places, parts=shingles_of(F.col("region")))
+    found = places.join(F.broadcast(table), "word")
     found = found.where(weight(F.array_intersect("own", "parts")) * 100 >= F.col("need") * NEED)
     before = F.filter(F.sequence(F.lit(0), F.col("at")), lambda i: (i < F.col("at")) & F.array_contains(F.col("anchors"), F.get(F.col("region"), i)))
     low = F.greatest(F.col("at") - F.col("n") + 1, F.coalesce(F.array_max(before) + 1, F.lit(0)), F.lit(0))
     top = F.greatest(F.least(F.col("at"), F.size("region") - F.col("n")), F.lit(0))
-    found = found.withColumns({"low": low, "top": top}).where("low <= top")
+    found = computed(found, low=low, top=top).where("low <= top")
     windows = found.select("h1", "h2", "item", "own", "need", "mark", "index", "n", "parts", F.explode(F.sequence("low", "top")).alias("s"))
-    windows = windows.withColumn("window", F.array_distinct(F.slice("parts", F.col("s") + 1, F.greatest(F.col("n") - (WORDS - 1), F.lit(0)))))
-    windows = windows.drop("parts").withColumn("print", simhash(F.col("window")))
+    window = F.array_distinct(F.slice("parts", F.col("s") + 1, F.greatest(F.col("n") - (WORDS - 1), F.lit(0))))
+    windows = computed(windows, window=window).drop("parts", "n", "s")
+    windows = computed(windows, print=simhash(F.col("window")))
     block = lambda b: F.shiftrightunsigned("print", 8 * b).bitwiseAND(F.lit(255).cast("long")).cast("int")
     indexed = F.lit(False)
     for b in range(8):
         indexed = indexed | F.array_contains(F.get("index", F.lit(b)), block(b))
     close = windows.where(indexed & (F.bit_count(F.col("print").bitwiseXOR(F.col("mark"))) <= RADIUS))
     both = weight(F.array_intersect("window", "own"))
-    close = close.withColumn("both", both).withColumn("all", weight(F.col("window")) + F.col("need") - F.col("both"))
+    close = computed(close.drop("index"), both=both, size=weight(F.col("window")))
+    close = close.withColumn("all", F.col("size") + F.col("need") - F.col("both"))
     close = close.where("both > 0").where(F.col("both") * 100 >= F.col("all") * NEED)
     return close.groupBy("h1", "h2", "item").agg(F.max(F.col("both") / F.col("all")).alias("similarity"))
 
@@ -141,7 +150,7 @@ def matching_texts(docs: DataFrame, items: DataFrame, text_col: str = "text", it
     spark = docs.sparkSession
     lowered = lower_ascii(F.coalesce(F.col(text_col), F.lit("")))
     h1, h2 = hash128(F.coalesce(F.col(text_col), F.lit("")))
-    texts = docs.select(h1.alias("h1"), h2.alias("h2"), words_of(lowered).alias("words"))
+    texts = computed(docs.select(h1.alias("h1"), h2.alias("h2"), lowered.alias("low")), words=words_of(F.col("low"))).drop("low")
     tokens = words_of(lower_ascii(F.coalesce(F.col(item_text), F.lit(""))))
     each = items.select(tokens.alias("words")).where(F.size("words") >= WORDS).distinct()
     total = each.agg(F.sum(F.size("words"))).first()[0] or 0
