@@ -16,6 +16,7 @@ from .line_dedup import line_dedup
 from .media import media_columns
 from .ngram_join import near_duplicates
 from .packing import pack
+from .pii import BASE, find_pii, listed
 from .quality import held_out, quality_scores, train
 from .sharding import reshard
 from .token_count import token_counts
@@ -69,6 +70,16 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", "predicted")
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_pii(documents(spark, sf_dir).select("doc_id", "text"))
+    counts = [F.size(F.filter("base_spans", _is(kind))).cast("long").alias(f"n_{kind}") for kind in BASE]
+    return found.select("doc_id", *counts, F.sha2(listed(F.col("base_spans")), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+
+
+def _is(kind: str):
+    return lambda s: s["kind"] == kind
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
@@ -83,7 +94,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_license_scan, op2_token_counts, op3_media_columns, op4_line_dedup, op5_packing, op6_ngram_join, op7_quality, op9_decontamination, op10_sharding)}
+    return {f.__name__: f for f in (op1_license_scan, op2_token_counts, op3_media_columns, op4_line_dedup, op5_packing, op6_ngram_join, op7_quality, op8_pii, op9_decontamination, op10_sharding)}
 
 
 OP4_SQL = r"""
