@@ -9,8 +9,8 @@ Texts become sets of hashed word shingles; equal sets are one class. Two classes
   short). Linked sets share a shingle among their first n - ceil(0.8 n) + 1. Size and position bounds discard the rest.
 * The boundary minimises subsets listed plus list entries and the partners expected for each, from the size histogram.
 
-What leaves the operator is components, so not all pairs are needed: each list first proposes its members to one hub (the
-member with the fewest rare shingles before the list's). Links are verified on whole sets, components are formed, and then
+What leaves the operator is components, so not all pairs are needed: each list has a hub (the member
+with the fewest rare shingles before the list's), and each class is first proposed to the one hub it shares most lists with. Links are verified on whole sets, components are formed, and then
 every list that still holds several components proposes just its pairs across components. A pair within one component
 cannot change the result, so nothing is lost, and a group of near copies costs its size, not its square.
 
@@ -263,18 +263,28 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return cut_lineage(found.where(F.col("u") != F.col("v")).mapInArrow(linked, f"u {kind}, v {kind}"))
 
     ordered = (F.least("one.hi", "two.hi").alias("a"), F.greatest("one.hi", "two.hi").alias("b"))
-    stars = lists.select(F.struct("hi", "n", "pos").alias("one"), F.col("hub").alias("two")).where(F.col("one.hi") != F.col("two.hi"))
+
+    def stars(of: DataFrame) -> DataFrame:
+        """Each member with the one hub that it shares most lists with: no more pairs than members."""
+        pairs = of.select(F.struct("hi", "n", "pos").alias("one"), F.col("hub").alias("two")).where(F.col("one.hi") != F.col("two.hi")).where(possible("one", "two"))
+        counted = pairs.groupBy(F.col("one.hi").alias("one"), F.col("two.hi").alias("two")).agg(F.count("*").alias("m"))
+        best = counted.groupBy("one").agg(F.max(F.struct("m", "two")).alias("best")).select("one", F.col("best.two").alias("two"))
+        return best.select(F.least("one", "two").alias("a"), F.greatest("one", "two").alias("b")).distinct()
+
+    def coloured(links: DataFrame) -> DataFrame:
+        """The entries of lists that hold several components, with the component."""
+        named_lists = lists.join(classes.select("hi", "rep").dropDuplicates(["hi"]), "hi").join(components(links), F.col("rep") == F.col("node"), "left")
+        every = named_lists.select("key", "hi", "n", "pos", F.coalesce("component", "rep").alias("c"))
+        mixed = every.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("key")
+        return cut_lineage(every.join(mixed, "key", "left_semi"))
+
     clash = classes.groupBy("hi").agg(F.count("*").alias("m")).where("m > 1").select(F.col("hi").alias("a"), F.col("hi").alias("b"))
-    first = stars.where(possible("one", "two")).select(*ordered).unionByName(clash).distinct()
-    links = verified(first)
-    reached = components(links)
-    named_lists = lists.join(classes.select("hi", "rep").dropDuplicates(["hi"]), "hi").join(reached, F.col("rep") == F.col("node"), "left")
-    coloured = named_lists.select("key", "hi", "n", "pos", F.coalesce("component", "rep").alias("c"))
-    mixed = coloured.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("key")
-    left = cut_lineage(coloured.join(mixed, "key", "left_semi"))
+    tried = cut_lineage(stars(lists).unionByName(clash).distinct())
+    links = verified(tried)
+    left = coloured(links)
     one, two = left.alias("one"), left.alias("two")
     across = one.join(two, (F.col("one.key") == F.col("two.key")) & (F.col("one.c") < F.col("two.c")) & possible("one", "two")).select(*ordered).distinct()
-    more = verified(across.join(cut_lineage(first), ["a", "b"], "left_anti"))
+    more = verified(across.join(tried, ["a", "b"], "left_anti"))
     own = rows.join(classes.select("hi", "lo", "rep"), ["hi", "lo"], "left")
     # rows of one id with different texts: their classes hang together
     ids = own.groupBy("id").agg(F.min("rep").alias("low"), F.max("rep").alias("high")).where("low < high")
