@@ -127,7 +127,7 @@ def xor_decrypt(cipher: str, key: str) -> str:
         text = bytes(b ^ secret[i % len(secret)] for i, b in enumerate(raw[2:])).decode()
     except Exception as e:
         raise ValueError("not a text of this cipher") from e
-    if len(text) != int.from_bytes(raw[:2], "big"):
+    if len(raw) < 2 or len(text) != int.from_bytes(raw[:2], "big"):
         raise ValueError("the length does not fit")
     return text
 
