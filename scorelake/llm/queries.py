@@ -119,5 +119,40 @@ FROM marked GROUP BY doc_id
 """
 
 
+#: Every pair of documents that share a shingle, then reachability by recursion.
+OP6_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents
+),
+s AS (
+  SELECT doc_id, CASE WHEN len(words) >= 5 THEN list_distinct(list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i : i + 4], ' ')))
+    WHEN len(words) > 0 THEN [array_to_string(words, ' ')] ELSE [] END AS shingles FROM w
+),
+e AS (SELECT doc_id, len(shingles) AS n, unnest(shingles) AS shingle FROM s),
+links AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM e a JOIN e b ON a.shingle = b.shingle AND a.doc_id < b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))
+),
+both_ways AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT r.a, l.b FROM reach r JOIN both_ways l ON r.b = l.a)
+SELECT s.doc_id, CAST(len(s.shingles) AS BIGINT) AS n_shingles, min(r.b) AS component_id FROM s JOIN reach r ON r.a = s.doc_id GROUP BY s.doc_id, len(s.shingles)
+"""
+
+#: Every window of every document against every item that it shares a shingle with.
+OP9_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+dp AS (SELECT doc_id, list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' ')) AS parts, len(w) AS n FROM d WHERE len(w) >= 5),
+b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+bp AS (SELECT item_id, list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' '))) AS own, len(w) AS m FROM b WHERE len(w) >= 5),
+pairs AS (SELECT DISTINCT x.doc_id, y.item_id FROM (SELECT doc_id, unnest(list_distinct(parts)) AS p FROM dp) x JOIN (SELECT item_id, unnest(own) AS p FROM bp) y USING (p)),
+windows AS (
+  SELECT doc_id, item_id, own, list_distinct(parts[i : i + m - 5]) AS part FROM (
+    SELECT doc_id, item_id, own, m, parts, unnest(range(1, greatest(n - m, 0) + 2)) AS i FROM pairs JOIN dp USING (doc_id) JOIN bp USING (item_id))
+),
+sizes AS (SELECT doc_id, item_id, length(array_to_string(list_intersect(part, own), '')) AS held, length(array_to_string(part, '')) + length(array_to_string(own, '')) AS total FROM windows)
+SELECT doc_id, item_id, max(held / (total - held)) AS similarity FROM sizes WHERE 100 * held >= 80 * (total - held) GROUP BY doc_id, item_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_license_scan": licences.oracle_sql(), "op4_line_dedup": OP4_SQL}
+    return {"op6_ngram_join": OP6_SQL, "op9_decontamination": OP9_SQL, "op1_license_scan": licences.oracle_sql(), "op4_line_dedup": OP4_SQL}
