@@ -5,8 +5,8 @@ Texts become sets of hashed word shingles; equal sets are one class. Two classes
 * Light (both sets of at most `boundary` shingles): each set lists all its subsets of the size that its partner's size
   demands, for every partner size that can link; linked sets share such a subset.
 * Heavy (the larger set above the boundary): inverted lists of prefixes. A global order puts frequent shingles last
-  (frequencies from a counter table of fixed size over the whole corpus; any fixed order is exact, this one keeps lists
-  short). Linked sets share a shingle among their first n - ceil(0.8 n) + 1. Size and position bounds discard the rest.
+  (frequencies from a counter table over the whole corpus, of a size that follows it up to a bound; any fixed order is
+  exact, this one keeps lists short). Linked sets share a shingle among their first n - ceil(0.8 n) + 1. Size and position bounds discard the rest.
 * The boundary minimises subsets listed plus list entries and the partners expected for each, from the size histogram.
 
 What leaves the operator is components, so not all pairs are needed: each list has a hub (the member
@@ -35,10 +35,11 @@ from pyspark.sql import functions as F
 from .common import cut_lineage, slices
 from .components import components
 
-#: Shingle length in words, similarity (a ratio of integers), counters in the frequency table (a power of 2), and the
-#: largest boundary that the cost may choose.
-WORDS, NEED, OF, COUNTERS, LIGHT = 5, 80, 100, 1 << 20, 12
-#: Candidate documents whose ids are broadcast at most; beyond, their texts are found by a shuffle join.
+#: Shingle length in words, similarity (a ratio of integers), and the largest boundary that the cost may choose.
+WORDS, NEED, OF, LIGHT = 5, 80, 100, 12
+#: The frequency table has a counter for so many bytes of text, as a power of 2 between these.
+COUNTER_BYTES, LEAST_COUNTERS, MOST_COUNTERS = 128, 1 << 16, 1 << 26
+#: Candidate documents whose ids, or classes whose components, are broadcast at most; beyond, shuffle joins find them.
 MOST_BROADCAST = 1_000_000
 
 _K1, _K2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
@@ -107,33 +108,40 @@ def least(n: int) -> int:
     return -(-NEED * n // OF)
 
 
-def counters(s: np.ndarray) -> np.ndarray:
-    return (s >> np.uint64(64 - COUNTERS.bit_length() + 1)).astype(np.int64)
+def counters(s: np.ndarray, size: int) -> np.ndarray:
+    return (s >> np.uint64(64 - size.bit_length() + 1)).astype(np.int64)
 
 
-def profile(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def profile(size: int):
     """Class and size of each row, and at a task's end its part of the frequency table, in slices."""
-    seen, names = np.zeros(COUNTERS, dtype=np.uint32), ["id", "n", "hi", "lo", "slice", "counts"]
-    kind = None
-    for batch in slices(batches, 1):
-        kind = batch.column(0).type
-        sets = shingle_sets([t or "" for t in batch.column(1).to_pylist()])
-        sign = [signature(s) for s in sets]
-        seen += np.bincount(counters(np.concatenate(sets)), minlength=COUNTERS).astype(np.uint32)
-        m = len(sets)
-        columns = [batch.column(0), pa.array([len(s) for s in sets], pa.int32()), pa.array([a for a, _ in sign], pa.int64()), pa.array([b for _, b in sign], pa.int64())]
-        yield pa.RecordBatch.from_arrays([*columns, pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], names)
-    if kind is not None:
-        parts = [zlib.compress(p.tobytes(), 1) for p in np.split(seen, 64)]
-        nothing = [pa.nulls(64, k) for k in (kind, pa.int32(), pa.int64(), pa.int64())]
-        yield pa.RecordBatch.from_arrays([*nothing, pa.array(range(64), pa.int32()), pa.array(parts, pa.binary())], names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, names = np.zeros(size, dtype=np.uint32), ["id", "n", "hi", "lo", "slice", "counts"]
+        kind = None
+        for batch in slices(batches, 1):
+            kind = batch.column(0).type
+            sets = shingle_sets([t or "" for t in batch.column(1).to_pylist()])
+            sign = [signature(s) for s in sets]
+            at, times = np.unique(counters(np.concatenate(sets), size), return_counts=True)
+            seen[at] += times.astype(np.uint32)
+            m = len(sets)
+            columns = [batch.column(0), pa.array([len(s) for s in sets], pa.int32()), pa.array([a for a, _ in sign], pa.int64()), pa.array([b for _, b in sign], pa.int64())]
+            yield pa.RecordBatch.from_arrays([*columns, pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], names)
+        if kind is not None:
+            parts = [zlib.compress(p.tobytes(), 1) for p in np.split(seen, 64)]
+            nothing = [pa.nulls(64, k) for k in (kind, pa.int32(), pa.int64(), pa.int64())]
+            yield pa.RecordBatch.from_arrays([*nothing, pa.array(range(64), pa.int32()), pa.array(parts, pa.binary())], names)
+
+    return run
 
 
 def add_up(parts: pd.DataFrame) -> pd.DataFrame:
-    total = np.zeros(COUNTERS // 64, dtype=np.uint64)
+    """Counters of one slice added, up to the largest that fits."""
+    total = np.uint64(0)
     for part in parts["counts"]:
-        total += np.frombuffer(zlib.decompress(part), dtype=np.uint32 if len(zlib.decompress(part)) == COUNTERS // 16 else np.uint64)
-    return pd.DataFrame({"slice": [parts["slice"].iloc[0]], "counts": [zlib.compress(total.tobytes(), 1)]})
+        total = total + np.frombuffer(zlib.decompress(part), dtype=np.uint32).astype(np.uint64)
+    capped = np.minimum(total, np.uint64(0xFFFFFFFF)).astype(np.uint32)
+    return pd.DataFrame({"slice": [parts["slice"].iloc[0]], "counts": [zlib.compress(capped.tobytes(), 1)]})
 
 
 def choose_boundary(sizes: dict[int, int], partners: float) -> int:
@@ -151,7 +159,7 @@ def choose_boundary(sizes: dict[int, int], partners: float) -> int:
     return min(range(LIGHT + 1), key=lambda b: (cost(b), b))
 
 
-def entries(frequency, boundary: int):
+def entries(frequency, size: int, boundary: int):
     """(key, hi, n, pos) of each class: its subsets (pos -1) if light, its prefix in the global order if it can be heavy's."""
     smallest = least(boundary + 1)
 
@@ -180,7 +188,7 @@ def entries(frequency, boundary: int):
                     positions.append(np.full(len(light), -1, dtype=np.int32))
                 if n >= smallest:
                     prefix = n - least(n) + 1
-                    order = np.lexsort((s, table[counters(s)]))[:prefix]
+                    order = np.lexsort((s, table[counters(s, size)]))[:prefix]
                     keys.append(s[order])
                     positions.append(np.arange(prefix, dtype=np.int32))
                 made = sum(map(len, keys)) - sum(map(len, his))
@@ -229,23 +237,31 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spark = docs.sparkSession
     named = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     kind = named.schema["id"].dataType.simpleString()
-    told = cut_lineage(named.mapInArrow(profile, f"id {kind}, n int, hi long, lo long, slice int, counts binary"))
+    total = named.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    counted = min(max(1 << (total // COUNTER_BYTES).bit_length(), LEAST_COUNTERS), MOST_COUNTERS)
+    told = cut_lineage(named.mapInArrow(profile(counted), f"id {kind}, n int, hi long, lo long, slice int, counts binary"))
     rows = told.where("slice IS NULL").select("id", "n", "hi", "lo")
     # parts of the table are added in two steps, so that no task holds more than a few hundred of them
     parts = told.where("slice IS NOT NULL").select("slice", "counts", (F.spark_partition_id() / 256).cast("int").alias("some"))
     added = parts.groupBy("slice", "some").applyInPandas(add_up, "slice int, counts binary").groupBy("slice").applyInPandas(add_up, "slice int, counts binary")
-    table = np.zeros(COUNTERS, dtype=np.uint64)
-    for r in added.collect():  # 64 rows of fixed size
-        table[r["slice"] * (COUNTERS // 64) :][: COUNTERS // 64] = np.frombuffer(zlib.decompress(r["counts"]), dtype=np.uint64)
+    table = np.zeros(counted, dtype=np.uint32)
+    for r in added.collect():  # 64 rows of bounded size
+        table[r["slice"] * (counted // 64) :][: counted // 64] = np.frombuffer(zlib.decompress(r["counts"]), dtype=np.uint32)
     classes = cut_lineage(rows.where("n > 0 AND id IS NOT NULL").groupBy("hi", "lo").agg(F.min("id").alias("rep"), F.first("n").alias("n")))
     if boundary is None:
         small = {r["n"]: r["count"] for r in classes.where(F.col("n") <= LIGHT).groupBy("n").count().collect()}
-        boundary = choose_boundary(small, float((table.astype(np.float64) ** 2).sum() / max(table.sum(), 1)))
-    frequency = spark.sparkContext.broadcast(np.minimum(table, 0xFFFFFFFF).astype(np.uint32))  # fixed size
-    listed = named.select("text").mapInArrow(entries(frequency, boundary), "key long, hi long, n int, pos int")
-    by_key = Window.partitionBy("key")
-    hub = F.min(F.struct("pos", "hi", "n")).over(by_key)
-    lists = listed.withColumns({"hub": hub, "last": F.max("hi").over(by_key), "first": F.min("hi").over(by_key)}).where("first < last")
+        boundary = choose_boundary(small, float((table.astype(np.float64) ** 2).sum() / max(table.sum(dtype=np.float64), 1)))
+    frequency = spark.sparkContext.broadcast(np.minimum(table, 0xFFFF).astype(np.uint16))  # of bounded size
+    listed = named.select("text").mapInArrow(entries(frequency, counted, boundary), "key long, hi long, n int, pos int")
+    # a list's entry without a neighbour of fitting size, or a list of two that cannot link, ends here
+    by_key, by_size = Window.partitionBy("key"), Window.partitionBy("key").orderBy("n")
+    n, below, above = F.col("n").cast("long"), F.lag("n").over(by_size).cast("long"), F.lead("n").over(by_size).cast("long")
+    near = F.coalesce(below * OF >= n * NEED, F.lit(False)) | F.coalesce(n * OF >= above * NEED, F.lit(False))
+    place = F.struct("pos", "hi", "n")
+    lists = listed.withColumn("near", near).where("near").withColumns(
+        {"hub": F.min(place).over(by_key), "tail": F.max(place).over(by_key), "last": F.max("hi").over(by_key), "first": F.min("hi").over(by_key), "size": F.count("*").over(by_key)}
+    )
+    lists = lists.where("first < last").where((F.col("size") > 2) | possible("hub", "tail"))
     lists = cut_lineage(lists.select("key", "hi", "n", "pos", "hub").distinct())
 
     def verified(pairs: DataFrame) -> DataFrame:
@@ -272,11 +288,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return best.select(F.least("one", "two").alias("a"), F.greatest("one", "two").alias("b")).distinct()
 
     def coloured(links: DataFrame) -> DataFrame:
-        """The entries of lists that hold several components, with the component."""
-        named_lists = lists.join(classes.select("hi", "rep").dropDuplicates(["hi"]), "hi").join(components(links), F.col("rep") == F.col("node"), "left")
-        every = named_lists.select("key", "hi", "n", "pos", F.coalesce("component", "rep").alias("c"))
-        mixed = every.groupBy("key").agg(F.min("c").alias("low"), F.max("c").alias("high")).where("low < high").select("key")
-        return cut_lineage(every.join(mixed, "key", "left_semi"))
+        """The entries of lists that hold several components; a component's colour is its least class hash."""
+        members = components(links).join(classes.select("hi", "rep"), F.col("rep") == F.col("node"))
+        colours = members.join(members.groupBy("component").agg(F.min("hi").alias("c")), "component").groupBy("hi").agg(F.min("c").alias("c"))
+        colours = cut_lineage(colours)
+        if colours.count() <= MOST_BROADCAST:
+            colours = F.broadcast(colours)
+        every = lists.join(colours, "hi", "left").select("key", "hi", "n", "pos", F.coalesce("c", "hi").alias("c"))
+        several = every.withColumns({"low": F.min("c").over(by_key), "high": F.max("c").over(by_key)}).where("low < high")
+        return cut_lineage(several.select("key", "hi", "n", "pos", "c"))
 
     clash = classes.groupBy("hi").agg(F.count("*").alias("m")).where("m > 1").select(F.col("hi").alias("a"), F.col("hi").alias("b"))
     tried = cut_lineage(stars(lists).unionByName(clash).distinct())
