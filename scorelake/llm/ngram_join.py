@@ -112,6 +112,19 @@ def counters(s: np.ndarray, size: int) -> np.ndarray:
     return (s >> np.uint64(64 - size.bit_length() + 1)).astype(np.int64)
 
 
+def packed(counts: np.ndarray) -> bytes:
+    """The counters that are not 0, as distances and values: a task sends what it has seen, whatever the table's size."""
+    at = np.flatnonzero(counts)
+    return zlib.compress(np.diff(at, prepend=0).astype(np.uint32).tobytes() + counts[at].astype(np.uint32).tobytes(), 1)
+
+
+def unpacked(data: bytes, size: int) -> np.ndarray:
+    steps, values = np.split(np.frombuffer(zlib.decompress(data), dtype=np.uint32), 2)
+    out = np.zeros(size, dtype=np.uint64)
+    out[np.cumsum(steps, dtype=np.int64)] = values
+    return out
+
+
 def profile(size: int):
     """Class and size of each row, and at a task's end its part of the frequency table, in slices."""
 
@@ -128,20 +141,23 @@ def profile(size: int):
             columns = [batch.column(0), pa.array([len(s) for s in sets], pa.int32()), pa.array([a for a, _ in sign], pa.int64()), pa.array([b for _, b in sign], pa.int64())]
             yield pa.RecordBatch.from_arrays([*columns, pa.nulls(m, pa.int32()), pa.nulls(m, pa.binary())], names)
         if kind is not None:
-            parts = [zlib.compress(p.tobytes(), 1) for p in np.split(seen, 64)]
+            parts = [packed(p) for p in np.split(seen, 64)]
             nothing = [pa.nulls(64, k) for k in (kind, pa.int32(), pa.int64(), pa.int64())]
             yield pa.RecordBatch.from_arrays([*nothing, pa.array(range(64), pa.int32()), pa.array(parts, pa.binary())], names)
 
     return run
 
 
-def add_up(parts: pd.DataFrame) -> pd.DataFrame:
+def add_up(size: int):
     """Counters of one slice added, up to the largest that fits."""
-    total = np.uint64(0)
-    for part in parts["counts"]:
-        total = total + np.frombuffer(zlib.decompress(part), dtype=np.uint32).astype(np.uint64)
-    capped = np.minimum(total, np.uint64(0xFFFFFFFF)).astype(np.uint32)
-    return pd.DataFrame({"slice": [parts["slice"].iloc[0]], "counts": [zlib.compress(capped.tobytes(), 1)]})
+
+    def run(parts: pd.DataFrame) -> pd.DataFrame:
+        total = np.zeros(size, dtype=np.uint64)
+        for part in parts["counts"]:
+            total += unpacked(part, size)
+        return pd.DataFrame({"slice": [parts["slice"].iloc[0]], "counts": [packed(np.minimum(total, np.uint64(0xFFFFFFFF)))]})
+
+    return run
 
 
 def choose_boundary(sizes: dict[int, int], partners: float) -> int:
@@ -232,6 +248,11 @@ def possible(a: str, b: str):
     return sizes & ((pa_ < 0) | ((1 + F.least(na - pa_ - 1, nb - pb - 1)) * (NEED + OF) >= NEED * (na + nb)))
 
 
+def _with_later(i):
+    """Pairs of the i-th of the sets s with each behind it."""
+    return F.transform(F.sequence(i + 1, F.size("s") - 1), lambda j: F.struct(F.get("s", i).alias("x"), F.get("s", j).alias("y")))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", boundary: int | None = None) -> DataFrame:
     """id, n_shingles and component_id of each row of docs."""
     spark = docs.sparkSession
@@ -243,10 +264,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = told.where("slice IS NULL").select("id", "n", "hi", "lo")
     # parts of the table are added in two steps, so that no task holds more than a few hundred of them
     parts = told.where("slice IS NOT NULL").select("slice", "counts", (F.spark_partition_id() / 256).cast("int").alias("some"))
-    added = parts.groupBy("slice", "some").applyInPandas(add_up, "slice int, counts binary").groupBy("slice").applyInPandas(add_up, "slice int, counts binary")
+    added = parts.groupBy("slice", "some").applyInPandas(add_up(counted // 64), "slice int, counts binary").groupBy("slice").applyInPandas(add_up(counted // 64), "slice int, counts binary")
     table = np.zeros(counted, dtype=np.uint32)
     for r in added.collect():  # 64 rows of bounded size
-        table[r["slice"] * (counted // 64) :][: counted // 64] = np.frombuffer(zlib.decompress(r["counts"]), dtype=np.uint32)
+        table[r["slice"] * (counted // 64) :][: counted // 64] = unpacked(r["counts"], counted // 64)
     classes = cut_lineage(rows.where("n > 0 AND id IS NOT NULL").groupBy("hi", "lo").agg(F.min("id").alias("rep"), F.first("n").alias("n")))
     if boundary is None:
         small = {r["n"]: r["count"] for r in classes.where(F.col("n") <= LIGHT).groupBy("n").count().collect()}
@@ -270,13 +291,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         his = pairs.select(F.explode(F.array("a", "b")).alias("hi")).distinct()
         wanted = cut_lineage(classes.join(his, "hi", "left_semi"))
         ids = wanted.select(F.col("rep").alias("id")).distinct()
-        if wanted.count() <= MOST_BROADCAST:
+        few = wanted.count() <= MOST_BROADCAST
+        if few:
             ids = F.broadcast(ids)
+        known = wanted.select("hi", "lo", "rep")
+        if few:
+            known = F.broadcast(known)
         sets = named.join(ids, "id", "left_semi").mapInArrow(whole_sets, f"rep {kind}, hi long, lo long, shingles binary")
-        sets = sets.join(wanted.select("hi", "lo", "rep"), ["hi", "lo", "rep"], "left_semi").dropDuplicates(["hi", "lo"])
-        a, b = (sets.select(F.col("hi").alias(x), F.col("rep").alias(f"{x}_id"), F.col("shingles").alias(f"{x}_set")) for x in "ab")
-        found = pairs.join(a, "a").join(b, "b").select(F.col("a_id").alias("u"), F.col("b_id").alias("v"), F.col("a_set").alias("x"), F.col("b_set").alias("y"))
-        return cut_lineage(found.where(F.col("u") != F.col("v")).mapInArrow(linked, f"u {kind}, v {kind}"))
+        sets = sets.join(known, ["hi", "lo", "rep"], "left_semi").dropDuplicates(["hi", "lo"])
+        # each set is sent once to the places of its pairs, and from there to its pairs; a pair of one hash has both its sets
+        ends = pairs.select("a", "b", F.explode(F.when(F.col("a") == F.col("b"), F.array("a")).otherwise(F.array("a", "b"))).alias("hi"))
+        held = ends.join(sets, "hi").groupBy("a", "b").agg(F.sort_array(F.collect_list(F.struct("rep", "shingles"))).alias("s"))
+        each = F.flatten(F.transform(F.sequence(F.lit(0), F.size("s") - 2), _with_later))
+        both = held.where(F.size("s") > 1).select(F.explode(each).alias("p"))
+        found = both.select(F.col("p.x.rep").alias("u"), F.col("p.y.rep").alias("v"), F.col("p.x.shingles").alias("x"), F.col("p.y.shingles").alias("y"))
+        return cut_lineage(found.mapInArrow(linked, f"u {kind}, v {kind}"))
 
     ordered = (F.least("one.hi", "two.hi").alias("a"), F.greatest("one.hi", "two.hi").alias("b"))
 
