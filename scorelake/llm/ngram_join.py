@@ -298,7 +298,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         if few:
             known = F.broadcast(known)
         sets = named.join(ids, "id", "left_semi").mapInArrow(whole_sets, f"rep {kind}, hi long, lo long, shingles binary")
-        sets = sets.join(known, ["hi", "lo", "rep"], "left_semi").dropDuplicates(["hi", "lo"])
+        # dealt by hi once: that serves both the distinct classes and the join below
+        sets = sets.join(known, ["hi", "lo", "rep"], "left_semi").repartition("hi").dropDuplicates(["hi", "lo"])
         # each set is sent once to the places of its pairs, and from there to its pairs; a pair of one hash has both its sets
         ends = pairs.select("a", "b", F.explode(F.when(F.col("a") == F.col("b"), F.array("a")).otherwise(F.array("a", "b"))).alias("hi"))
         held = ends.join(sets, "hi").groupBy("a", "b").agg(F.sort_array(F.collect_list(F.struct("rep", "shingles"))).alias("s"))
