@@ -1,8 +1,8 @@
 """Bin edges on the driver, bins as column expressions.
 
 Bins are right-closed, (a, b], open at both ends (-inf, +inf). Missing values have bin 0 where they are kept, special
-values a bin each after the normal ones. Edges are few (at most some hundred): they become a `when` chain, so assigning bins
-is a projection inside whole-stage code generation, without a join or a Python function.
+values a bin each after the normal ones; NaN is missing. Edges are few (at most some hundred): they become a balanced tree of
+comparisons, so assigning bins is a projection inside whole-stage code generation, without a join or a Python function.
 """
 
 from __future__ import annotations
@@ -13,6 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ordered import order_statistics, percentiles, present, tree
+
 INF = float("inf")
 
 
@@ -31,32 +33,24 @@ def equal_frequency(df: DataFrame, column: str, n_bins: int = 10, specials: Sequ
 
 
 def equal_frequency_many(df: DataFrame, columns: Sequence[str], n_bins: int = 10, specials: Sequence[float] = ()) -> dict[str, list[float]]:
-    """The edges of many columns in one pass."""
+    """The edges of many columns together; exact, and no task or driver sees all values."""
     shares = [k / n_bins for k in range(1, n_bins)]
-    each = [F.percentile(without(F.col(c), specials), F.array(*map(F.lit, shares))).alias(c) for c in columns]
-    row = df.agg(*each).first()
-    return {c: closed(row[c] or []) for c in columns}
+    found = percentiles(df, {c: without(F.col(c), specials) for c in columns}, shares)
+    return {c: closed(found[c]) for c in columns}
 
 
 def equal_width(df: DataFrame, column: str, n_bins: int = 10, specials: Sequence[float] = ()) -> list[float]:
     value = without(F.col(column), specials)
-    low, high = df.agg(F.min(value), F.max(value)).first()
+    low, high = df.agg(F.min(present(value)), F.max(present(value))).first()
     if low is None:
         return [-INF, INF]
     return closed([low + (high - low) * k / n_bins for k in range(1, n_bins)])
 
 
 def higher_percentiles(df: DataFrame, column: str, shares: Sequence[float]) -> list[float]:
-    """The value at zero-based sorted place ceil(q * (n - 1)), from a histogram of distinct values."""
-    from pyspark.sql import Window
-
-    counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).cast("double").alias("v")).agg(F.count("*").alias("n"))
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    spots = [math.ceil(q * (total - 1)) for q in shares]
-    # one row for each distinct value, so this single-partition window holds a histogram, not rows
-    running = counts.withColumn("upto", F.sum("n").over(Window.orderBy("v")))
-    firsts = [F.min(F.when(F.col("upto") > s, F.col("v"))).alias(f"q{i}") for i, s in enumerate(spots)]
-    return list(running.agg(*firsts).first()) if firsts and total else []
+    """The value at zero-based sorted place ceil(q * (n - 1))."""
+    n, found = order_statistics(df, {column: F.col(column)}, shares, lambda n: [math.ceil(q * (n - 1)) for q in shares])[column]
+    return [found[math.ceil(q * (n - 1))] for q in shares] if n else []
 
 
 def without(c: Column, specials: Sequence[float]) -> Column:
@@ -64,14 +58,12 @@ def without(c: Column, specials: Sequence[float]) -> Column:
 
 
 def bin_number(c: Column, edges: Sequence[float], specials: Sequence[float] = (), keep_missing: bool = False) -> Column:
-    """1..n for (edges[i-1], edges[i]], n+1.. for special values, null (or 0 with keep_missing) for missing."""
+    """1..n for (edges[i-1], edges[i]], n+1.. for special values, null (or 0 with keep_missing) for null and NaN."""
     n = len(edges) - 1
-    out = F.when(c.isNull(), F.lit(0 if keep_missing else None).cast("int"))
+    out = F.when(present(c).isNull(), F.lit(0 if keep_missing else None).cast("int"))
     for k, s in enumerate(specials, 1):
         out = out.when(c == s, n + k)
-    for i, edge in enumerate(edges[1:-1], 1):
-        out = out.when(c <= edge, i)
-    return out.otherwise(n)
+    return out.otherwise(tree(c, edges[1:-1], lambda i: F.lit(i + 1)))
 
 
 def labels(edges: Sequence[float], specials: Sequence[float] = ()) -> dict[int, str]:

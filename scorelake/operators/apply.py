@@ -40,23 +40,24 @@ def row_wise(function: Callable[[pd.DataFrame], pd.DataFrame], probe: pd.DataFra
         return False
 
 
-def evaluate(df: DataFrame, leaf: Callable[[DataFrame], DataFrame], groups: Sequence[str] = (), subsets: dict[str, str] | None = None, labels: Sequence[str] = (), min_rows: int = 0) -> DataFrame:
-    """A leaf over group x subset x label as one UNION ALL with meta columns. Groups below min_rows (at least) are left out.
-
-    The leaf is a lazy table function, so branches share scans where plans agree."""
-    out = None
-    for subset, test in (subsets or {"all": "true"}).items():
-        for label in labels or [None]:
-            part = df.where(test)
-            if label:
-                part = part.where(F.col(label).isNotNull()).withColumn("__label", F.col(label))
-            counted = part.groupBy(*groups).agg(F.count("*").alias("__n")).where(F.col("__n") >= min_rows) if groups else None
-            values = sorted(counted.collect(), key=str) if groups else [None]
-            for value in values:
-                own = part
-                for g in groups:
-                    own = own.where(F.col(g).eqNullSafe(F.lit(value[g])))
-                meta = {"subset": F.lit(subset), "label": F.lit(label)} | {f"group_{g}": F.lit(value[g]) for g in groups}
-                result = leaf(own).withColumns(meta)
-                out = result if out is None else out.unionByName(result, allowMissingColumns=True)
-    return out
+def evaluate(df: DataFrame, leaf: Callable[[DataFrame, list[str]], DataFrame], groups: Sequence[str] = (), subsets: dict[str, str] | None = None, labels: Sequence[str] = (), min_rows: int = 0) -> DataFrame:
+    """A leaf over group x subset x label in one plan, whatever their number. Groups below min_rows rows are left out.
+
+    The leaf gets a table with a row for each subset and label that a row belongs to (columns subset, label, __label: the
+    label's value; group_<g>) and the key columns that it must group by. Null labels do not count."""
+    tests = list((subsets or {"all": "true"}).items())
+    cells = [
+        F.when(F.expr(f"({test})") & (F.col(label).isNotNull() if label else F.lit(True)), F.struct(F.lit(subset).alias("subset"), F.lit(label).cast("string").alias("label"), (F.col(label) if label else F.lit(None)).cast("double").alias("__label")))
+        for subset, test in tests for label in (labels or [None])
+    ]
+    named = df.withColumns({f"group_{g}": F.col(g) for g in groups})
+    long = named.withColumn("__cell", F.explode(F.array_compact(F.array(*cells)))).select(*named.columns, "__cell.*")
+    keys = ["subset", "label", *(f"group_{g}" for g in groups)]
+    if min_rows > 1 and groups:
+        counted = long.groupBy(*keys).agg(F.count("*").alias("__n")).where(F.col("__n") >= min_rows)
+        same = F.lit(True)
+        for k in keys:
+            same = same & long[k].eqNullSafe(counted[k])
+        long = long.join(counted, same, "left_semi")
+    return leaf(long, keys)
+

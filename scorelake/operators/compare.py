@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.cleaning import require_columns
+from ..functions.ordered import present
 
 
 @dataclass(frozen=True)
@@ -23,9 +24,23 @@ class CompareConfig:
     tolerance: float = 0.0
     relative: float = 0.0
     seconds: float = 0.0
-    column_tolerance: dict[str, float] = field(default_factory=dict)
+    column_tolerance: dict[str, float | dict[str, float]] = field(default_factory=dict)  # or tol, rtol, seconds
     missing: Sequence[str] = ()
     duplicates: str = "first"  # first, all or raise
+    both_null_equal: bool = True
+    detail: str = "top"  # none, top or full
+    most_details: int = 1000
+
+
+#: What a text must look like to be a number.
+NUMBER = r"(?i)^\s*[+-]?(([0-9]+\.?[0-9]*|\.[0-9]+)(e[+-]?[0-9]+)?|inf|infinity|nan)\s*$"
+
+
+def number(c: Column) -> Column:
+    """The value as a double; null where a text is no number, and for NaN."""
+    text = F.trim(c.cast("string"))
+    d = F.when(text.rlike(NUMBER), text.try_cast("double"))
+    return F.when(~F.isnan(d), d)
 
 
 class Comparison:
@@ -46,6 +61,7 @@ class Comparison:
         where = F.when(F.col("__r").isNull(), "left_only").when(F.col("__l").isNull(), "right_only").otherwise("both")
         values = [x for c in self.columns for x in (F.col(f"v_l_{c}"), F.col(f"v_r_{c}"))]
         self.joined = joined.select(*keys, where.alias("side"), *values)
+        self.numeric_texts = self._numeric_texts(sides)
         self.kinds = {c: self._kind(c) for c in self.columns}
 
     def _side(self, df: DataFrame, s: str) -> DataFrame:
@@ -64,26 +80,56 @@ class Comparison:
             return "time"
         if any(isinstance(t, T.NumericType) for t in types):
             return "number"
-        return "text"
+        return "number" if c in self.numeric_texts else "text"
+
+    def _numeric_texts(self, sides: Sequence[DataFrame]) -> set[str]:
+        """Text columns whose values, on both sides, are all numbers; one aggregate a side for all of them."""
+        texts = [c for c in self.columns if all(isinstance(df.schema[c].dataType, T.StringType) for df in self.raw)]
+        if not texts:
+            return set()
+        counts = []
+        for df, s in zip(sides, "lr"):
+            each = [f for c in texts for f in (F.count(f"v_{s}_{c}").alias(f"n_{c}"), F.count(F.when(F.col(f"v_{s}_{c}").rlike(NUMBER), 1)).alias(f"k_{c}"))]
+            counts.append(df.agg(*each).first())
+        return {c for c in texts if any(r[f"n_{c}"] for r in counts) and all(r[f"n_{c}"] == r[f"k_{c}"] for r in counts)}
+
+    def coerced(self, c: str) -> tuple[Column, Column]:
+        """Both values in the kind they are compared in; what cannot be read as that kind is null."""
+        out = []
+        for df, s in zip(self.raw, "lr"):
+            x, kind = F.col(f"v_{s}_{c}"), df.schema[c].dataType
+            if self.kinds[c] == "text":
+                out.append(x.cast("string"))
+            elif self.kinds[c] == "time":
+                moment = isinstance(kind, (T.TimestampType, T.DateType, T.TimestampNTZType))
+                out.append((x.cast("timestamp") if moment else x.cast("string").try_cast("timestamp")).cast("double"))
+            else:
+                out.append(present(x) if isinstance(kind, T.NumericType) else number(x))
+        return out[0], out[1]
 
     def difference(self, c: str) -> Column:
-        a, b = F.col(f"v_l_{c}"), F.col(f"v_r_{c}")
-        if self.kinds[c] == "number":
-            return a.try_cast("double") - b.try_cast("double")
-        if self.kinds[c] == "time":
-            return a.try_cast("timestamp").cast("double") - b.try_cast("timestamp").cast("double")
-        return F.lit(None).cast("double")
+        a, b = self.coerced(c)
+        return a - b if self.kinds[c] != "text" else F.lit(None).cast("double")
+
+    def tolerance(self, c: str) -> tuple[float, float, float]:
+        """(absolute, relative, seconds) of a column."""
+        own, config = self.config.column_tolerance.get(c), self.config
+        if isinstance(own, dict):
+            return own.get("tol", config.tolerance), own.get("rtol", config.relative), own.get("seconds", config.seconds)
+        return (own, config.relative, own) if own is not None else (config.tolerance, config.relative, config.seconds)
 
     def differs(self, c: str) -> Column:
-        """Beyond tolerance, or null on one side alone."""
-        a, b, d = F.col(f"v_l_{c}"), F.col(f"v_r_{c}"), F.abs(self.difference(c))
+        """Beyond tolerance, or null on one side alone after coercion; null on both where that does not count as equal."""
+        a, b = self.coerced(c)
+        absolute, relative, seconds = self.tolerance(c)
         if self.kinds[c] == "text":
-            over = a.cast("string") != b.cast("string")
+            over = a != b
         elif self.kinds[c] == "time":
-            over = d > self.config.column_tolerance.get(c, self.config.seconds)
+            over = F.abs(a - b) > seconds
         else:
-            over = d > self.config.column_tolerance.get(c, self.config.tolerance) + self.config.relative * F.abs(b.try_cast("double"))
-        return F.coalesce(over, F.lit(False)) | (a.isNull() != b.isNull())
+            over = F.abs(a - b) > absolute + relative * F.abs(b)
+        out = F.coalesce(over, F.lit(False)) | (a.isNull() != b.isNull())
+        return out if self.config.both_null_equal else out | (a.isNull() & b.isNull())
 
     def coverage(self) -> DataFrame:
         return self.joined.groupBy("side").agg(F.count("*").alias("n"))
@@ -102,18 +148,21 @@ class Comparison:
 
     def _cells(self) -> DataFrame:
         both = self.joined.where("side = 'both'")
-        each = [
-            F.struct(F.lit(c).alias("column"), F.col(f"v_l_{c}").cast("string").alias("left_value"), F.col(f"v_r_{c}").cast("string").alias("right_value"), self.difference(c).alias("diff"), self.differs(c).alias("differs"))
-            for c in self.columns
-        ]
+        each = []
+        for c in self.columns:
+            a, b = self.coerced(c)
+            each.append(F.struct(
+                F.lit(c).alias("column"), F.col(f"v_l_{c}").cast("string").alias("left_value"), F.col(f"v_r_{c}").cast("string").alias("right_value"), self.difference(c).alias("diff"),
+                self.differs(c).alias("differs"), (a.isNull() != b.isNull()).alias("one_null"), (a.isNull() & b.isNull()).alias("both_null"),
+            ))
         return both.select(*self.config.keys, F.explode(F.array(*each)).alias("c")).select(*self.config.keys, "c.*")
 
     def column_report(self) -> DataFrame:
-        """Per column over common rows: mismatches, their share, greatest and mean absolute difference, one-sided nulls."""
+        """Per column over common rows: mismatches, their share, greatest and mean absolute difference, nulls after coercion."""
         d = F.abs("diff")
         out = self._cells().groupBy("column").agg(
             F.count("*").alias("n"), F.count_if("differs").alias("n_diff"), F.max(d).alias("max_diff"), F.avg(d).alias("mean_diff"),
-            F.count_if(F.col("left_value").isNull() != F.col("right_value").isNull()).alias("n_one_null"),
+            F.count_if("one_null").alias("n_one_null"), F.count_if("both_null").alias("n_both_null"),
         )
         return out.withColumn("diff_rate", F.col("n_diff") / F.col("n"))
 
@@ -124,10 +173,28 @@ class Comparison:
         return rows.where("n_diff > 0")
 
     def cell_report(self, top: int | None = None) -> DataFrame:
-        """Mismatched cells, the largest absolute differences first, nulls last."""
-        cells = self._cells().where("differs").drop("differs")
+        """Mismatched cells, the largest absolute differences first, nulls last. Without `top`, as the detail mode says."""
+        cells = self._cells().where("differs").drop("differs", "one_null", "both_null")
+        most = top if top is not None else {"none": 0, "top": self.config.most_details}.get(self.config.detail)
         order = [F.abs("diff").desc_nulls_last(), *(F.col(k) for k in self.config.keys), F.col("column")]
-        return cells.orderBy(*order).limit(top) if top is not None else cells
+        return cells.orderBy(*order).limit(most) if most is not None else cells
+
+    def reports(self) -> dict[str, DataFrame]:
+        return {
+            "coverage": self.coverage(), "schema": self.schema_report(), "columns": self.column_report(), "rows": self.row_report(),
+            "cells": self.cell_report(), "duplicates": self.duplicate_keys(),
+        }
+
+    def write(self, folder: str, format: str = "parquet") -> None:
+        """Each report as a table of its own under the folder."""
+        for name, report in self.reports().items():
+            report.write.mode("overwrite").format(format).save(f"{folder}/{name}")
+
+
+def compare_files(spark, left: str, right: str, config: CompareConfig, format: str = "csv") -> Comparison:
+    """Two files or folders; CSV values are texts, and columns of numbers are recognised as such."""
+    read = (lambda p: spark.read.csv(p, header=True)) if format == "csv" else (lambda p: spark.read.format(format).load(p))
+    return Comparison(read(left), read(right), config)
 
 
 def uat_features(joined: DataFrame, pairs: Sequence[tuple[str, str]], tolerance: float = 1e-6) -> DataFrame:

@@ -7,11 +7,14 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.edges import bin_number, ensure
+from ..functions.edges import bin_number, ensure, equal_frequency_many
 
 
 def cross_risk(df: DataFrame, first: str, second: str, aggregates: dict[str, Column], n_bins: int = 5, method: str | Sequence[float] = "frequency", edges: tuple[Sequence[float], Sequence[float]] | None = None) -> DataFrame:
     """bin1, bin2 (null: all), is_margin and the aggregates. Margins aggregate rows, so means and ratios are right too."""
+    if edges is None and method == "frequency":
+        found = equal_frequency_many(df, [first, second], n_bins)
+        edges = found[first], found[second]
     a, b = edges or (ensure(df, first, n_bins, method), ensure(df, second, n_bins, method))
     binned = df.withColumns({"bin1": bin_number(F.col(first), a), "bin2": bin_number(F.col(second), b)}).where("bin1 IS NOT NULL AND bin2 IS NOT NULL")
     out = binned.cube("bin1", "bin2").agg(F.grouping_id("bin1", "bin2").alias("is_margin"), *(c.alias(k) for k, c in aggregates.items()))

@@ -1,59 +1,62 @@
 """ROC, PR, AUC, KS and percentile tables, also weighted and by group.
 
-Rows are summed to distinct scores first; running sums are windows over those sums, partitioned by group. Without groups
-the last window has one partition, but holds distinct scores, not rows; `digits` rounds scores where even those are many.
+Rows are summed to distinct scores first; running sums over them are cut into parts by score (`functions.ordered`), so no
+task sees all distinct scores, however many there are, and none are rounded.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.ordered import cut_points, part_of, present, running_sums
 
-def _by_score(df: DataFrame, target: str, score: str, groups: Sequence[str], weight: str | None, digits: int | None) -> DataFrame:
-    s = F.col(score).cast("double")
+
+def _running(df: DataFrame, target: str, score: str, groups: Sequence[str], weight: str | None) -> DataFrame:
+    """groups, threshold, bad, good with their running sums from the highest score down, and totals."""
+    s = present(F.col(score))
     w = F.col(weight).cast("double") if weight else F.lit(1.0)
-    known = df.where(F.col(target).isin(0, 1) & s.isNotNull() & ~F.isnan(s))
-    return known.groupBy(*groups, (F.round(s, digits) if digits is not None else s).alias("threshold")).agg(
-        F.sum(w * F.col(target)).alias("bad"), F.sum(w * (1 - F.col(target))).alias("good")
-    )
+    known = df.where(F.col(target).isin(0, 1)).withColumn("__s", s).where("__s IS NOT NULL")
+    cuts = cut_points(known, {"s": F.col("__s")})["s"]
+    counts = known.groupBy(*groups, F.col("__s").alias("threshold")).agg(F.sum(w * F.col(target)).alias("bad"), F.sum(w * (1 - F.col(target))).alias("good"))
+    parted = counts.withColumn("__part", part_of(F.col("threshold"), cuts))
+    return running_sums(parted, "__part", [F.desc("threshold")], ["bad", "good"], groups, descending=True).drop("__part")
+
+
+def share(a: Column, b: Column) -> Column:
+    return F.try_divide(a, F.nullif(b, F.lit(0.0)))
 
 
-def roc_points(df: DataFrame, target: str, score: str, groups: Sequence[str] = (), weight: str | None = None, digits: int | None = None) -> DataFrame:
-    """threshold, bad, good, tpr, fpr at each distinct score, from the highest down."""
-    counts = _by_score(df, target, score, groups, weight, digits)
-    whole = Window.partitionBy(*groups) if groups else Window.partitionBy(F.lit(0))
-    down = whole.orderBy(F.desc("threshold")).rowsBetween(Window.unboundedPreceding, 0)
-    share = lambda c: F.try_divide(F.sum(c).over(down), F.nullif(F.sum(c).over(whole), F.lit(0.0)))
-    return counts.withColumns({"tpr": share("bad"), "fpr": share("good")})
+def roc_points(df: DataFrame, target: str, score: str, groups: Sequence[str] = (), weight: str | None = None) -> DataFrame:
+    """threshold, bad, good, tpr, fpr at each distinct score."""
+    points = _running(df, target, score, groups, weight)
+    out = points.withColumns({"tpr": share(F.col("cum_bad"), F.col("all_bad")), "fpr": share(F.col("cum_good"), F.col("all_good"))})
+    return out.select(*groups, "threshold", "bad", "good", "tpr", "fpr")
 
 
-def auc_ks(df: DataFrame, target: str, score: str, groups: Sequence[str] = (), weight: str | None = None, digits: int | None = None) -> DataFrame:
+def auc_ks(df: DataFrame, target: str, score: str, groups: Sequence[str] = (), weight: str | None = None) -> DataFrame:
     """n (weight), bad rate, AUC by the trapezoid rule, KS and its threshold; null AUC and KS where one class is absent."""
-    points = roc_points(df, target, score, groups, weight, digits)
-    whole = Window.partitionBy(*groups) if groups else Window.partitionBy(F.lit(0))
-    down = whole.orderBy(F.desc("threshold"))
-    before = lambda c: F.coalesce(F.lag(c).over(down), F.lit(0.0))
-    points = points.withColumn("area", (F.col("fpr") - before("fpr")) * (F.col("tpr") + before("tpr")) / 2)
+    points = _running(df, target, score, groups, weight)
+    tpr, fpr = share(F.col("cum_bad"), F.col("all_bad")), share(F.col("cum_good"), F.col("all_good"))
+    before = share(F.col("cum_bad") - F.col("bad"), F.col("all_bad"))
+    points = points.withColumns({"tpr": tpr, "fpr": fpr, "area": share(F.col("good"), F.col("all_good")) * (tpr + before) / 2})
     both = (F.sum("bad") > 0) & (F.sum("good") > 0)
     gap = F.abs(F.col("tpr") - F.col("fpr"))
     return points.groupBy(*groups).agg(
         F.sum(F.col("bad") + F.col("good")).alias("n"),
-        F.try_divide(F.sum("bad"), F.nullif(F.sum(F.col("bad") + F.col("good")), F.lit(0.0))).alias("bad_rate"),
+        share(F.sum("bad"), F.sum(F.col("bad") + F.col("good"))).alias("bad_rate"),
         F.when(both, F.sum("area")).alias("auc"),
         F.when(both, F.max(gap)).alias("ks"),
         F.when(both, F.max(F.struct(F.round(F.col("tpr") - F.col("fpr"), 12).alias("gap"), "threshold"))["threshold"]).alias("ks_threshold"),
     )
 
 
-def pr_points(df: DataFrame, target: str, score: str, groups: Sequence[str] = (), weight: str | None = None, digits: int | None = None) -> DataFrame:
-    counts = _by_score(df, target, score, groups, weight, digits)
-    whole = Window.partitionBy(*groups) if groups else Window.partitionBy(F.lit(0))
-    down = whole.orderBy(F.desc("threshold")).rowsBetween(Window.unboundedPreceding, 0)
-    hit, seen = F.sum("bad").over(down), F.sum(F.col("bad") + F.col("good")).over(down)
-    return counts.withColumns({"precision": F.try_divide(hit, seen), "recall": F.try_divide(hit, F.nullif(F.sum("bad").over(whole), F.lit(0.0)))})
+def pr_points(df: DataFrame, target: str, score: str, groups: Sequence[str] = (), weight: str | None = None) -> DataFrame:
+    points = _running(df, target, score, groups, weight)
+    out = points.withColumns({"precision": F.try_divide(F.col("cum_bad"), F.col("cum_bad") + F.col("cum_good")), "recall": share(F.col("cum_bad"), F.col("all_bad"))})
+    return out.select(*groups, "threshold", "bad", "good", "precision", "recall")
 
 
 def break_even(points: DataFrame, groups: Sequence[str] = ()) -> DataFrame:
@@ -65,16 +68,18 @@ def break_even(points: DataFrame, groups: Sequence[str] = ()) -> DataFrame:
 def percentile_table(df: DataFrame, target: str, score: str, n_bins: int = 10, key: str | None = None) -> DataFrame:
     """Equal-count bins by place in the score order: floor(n / bins) rows each, the last takes the remainder.
 
-    Places come from running counts of distinct (score, key) values; `key` breaks ties, else tied scores share a bin.
-    """
+    Places come from running counts of distinct (score, key) values; `key` breaks ties, else tied scores share a bin. A
+    numeric key also splits a score that very many rows share over several tasks."""
+    known = df.where(F.col(target).isin(0, 1)).select(present(F.col(score)).alias("s"), F.col(target).alias("y"), (F.col(key) if key else F.lit(0)).alias("k")).where("s IS NOT NULL")
+    numeric = key is not None and known.schema["k"].dataType.typeName() not in ("string", "binary", "boolean", "timestamp", "date")
+    cuts = cut_points(known, {"s": F.col("s")} | ({"k": F.col("k")} if numeric else {}))
+    part = part_of(F.col("s"), cuts["s"], F.col("k") if numeric else None, cuts.get("k", ()))
     order = ["s", "k"] if key else ["s"]
-    known = df.where(F.col(target).isin(0, 1) & F.col(score).isNotNull()).select(F.col(score).cast("double").alias("s"), F.col(target).alias("y"), (F.col(key) if key else F.lit(0)).alias("k"))
-    cells = known.groupBy(*order).agg(F.count("*").alias("n"), F.sum("y").alias("bad"), F.sum("s").alias("sum"))
-    ordered = Window.orderBy(*order)
-    total = F.sum("n").over(Window.partitionBy(F.lit(0)))
-    place = F.sum("n").over(ordered) - 1
-    number = F.least(F.floor(place / F.greatest(F.floor(total / n_bins), F.lit(1))) + 1, F.lit(n_bins)).cast("int")
-    binned = cells.withColumn("bin", number).groupBy("bin").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"), F.min("s").alias("min_score"), F.max("s").alias("max_score"), (F.sum("sum") / F.sum("n")).alias("avg_score"))
+    cells = known.groupBy(*order).agg(F.count("*").alias("n"), F.sum("y").alias("bad"), F.sum("s").alias("sum")).withColumn("__part", part)
+    ran = running_sums(cells, "__part", [F.col(c) for c in order], ["n"])
+    place = F.col("cum_n") - 1
+    number = F.least(F.floor(place / F.greatest(F.floor(F.col("all_n") / n_bins), F.lit(1))) + 1, F.lit(n_bins)).cast("int")
+    binned = ran.withColumn("bin", number).groupBy("bin").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"), F.min("s").alias("min_score"), F.max("s").alias("max_score"), (F.sum("sum") / F.sum("n")).alias("avg_score"))
     whole, running = Window.partitionBy(F.lit(0)), Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
     rate, overall = F.col("bad") / F.col("n"), F.sum("bad").over(whole) / F.sum("n").over(whole)
     return binned.withColumns({"bad_rate": rate, "lift": F.try_divide(rate, overall), "cum_n": F.sum("n").over(running), "cum_bad": F.sum("bad").over(running), "gain": F.try_divide(F.sum("bad").over(running).cast("double"), F.sum("bad").over(whole))})

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.edges import bin_number, equal_frequency, equal_frequency_many
+from ..functions.ordered import percentiles
 
 FLOOR = 1e-6
 
@@ -61,7 +62,7 @@ def psi_within(df: DataFrame, group: str, benchmark, column: str, n_bins: int =
 
 def distribution_shift(df: DataFrame, group: str, benchmark, columns: Sequence[str], shares: Sequence[float]) -> DataFrame:
     """Share of each group above the benchmark group's quantiles, one row a group, variable and quantile."""
-    row = df.where(F.col(group) == benchmark).agg(*(F.percentile(c, F.array(*map(F.lit, shares))).alias(c) for c in columns)).first()
+    row = percentiles(df.where(F.col(group) == benchmark), {c: F.col(c) for c in columns}, shares)
     each = [F.avg((F.col(c) > row[c][i]).cast("double")).alias(f"{c}|{q}") for c in columns for i, q in enumerate(shares)]
     wide = df.where(F.col(group).isNotNull()).groupBy(group).agg(*each)
     long = wide.unpivot([group], [f"`{c}|{q}`" for c in columns for q in shares], "cell", "above")

@@ -8,27 +8,35 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.cleaning import unpivot_values
+from ..functions.ordered import cut_points, grouped_percentiles, part_of, present
 
 
 def proc_means(df: DataFrame, cols: Sequence[str], groups: Sequence[str] = (), shares: Sequence[float] = (0.25, 0.5, 0.75)) -> DataFrame:
-    """N_ALL, N, mean, sample deviation, min, linear quantiles, max and missing rate of each column; null groups dropped."""
+    """N_ALL, N, mean, sample deviation, min, linear quantiles, max and missing rate of each column; null groups dropped.
+
+    NaN is missing. Moments are one aggregate; quantiles come from distinct values, cut into parts by value."""
     known = df
     for g in groups:
         known = known.where(F.col(g).isNotNull())
-    long = unpivot_values(known, list(groups), list(cols))
-    quantiles = F.percentile("value", F.array(*map(F.lit, shares)))
-    out = long.groupBy(*groups, "variable").agg(
-        F.count("*").alias("n_all"),
-        F.count("value").alias("n"),
-        F.avg("value").alias("mean"),
-        F.stddev_samp("value").alias("std"),
-        F.min("value").alias("min"),
-        quantiles.alias("__q"),
-        F.max("value").alias("max"),
-        (1 - F.count("value") / F.count("*")).alias("missing_rate"),
-    )
-    return out.withColumns({f"p{round(q * 100)}": F.get("__q", F.lit(i)) for i, q in enumerate(shares)}).drop("__q")
+    each = []
+    for c in cols:
+        v = present(F.col(c))
+        each.append(F.struct(
+            F.lit(c).alias("variable"), F.count("*").alias("n_all"), F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("std"),
+            F.min(v).alias("min"), F.max(v).alias("max"), (1 - F.count(v) / F.count("*")).alias("missing_rate"),
+        ))
+    moments = known.groupBy(*groups).agg(F.array(*each).alias("p")).select(*groups, F.explode("p").alias("p")).select(*groups, "p.*")
+    quantiles = column_percentiles(known, cols, groups, shares)
+    out = moments.join(quantiles, [*groups, "variable"], "left")
+    return out.withColumns({f"p{round(q * 100)}": F.get("q", F.lit(i)) for i, q in enumerate(shares)}).drop("q")
+
+
+def column_percentiles(df: DataFrame, cols: Sequence[str], groups: Sequence[str], shares: Sequence[float]) -> DataFrame:
+    """groups, variable, q: exact linear percentiles of each column in each group."""
+    cuts = cut_points(df, {c: F.col(c) for c in cols})
+    values = F.array(*(F.struct(F.lit(c).alias("variable"), part_of(F.col(c), cuts[c]).alias("__part"), present(F.col(c)).alias("v")) for c in cols))
+    cells = df.select(*groups, F.explode(values).alias("c")).select(*groups, "c.*").where("v IS NOT NULL").groupBy(*groups, "variable", "__part", "v").agg(F.count("*").alias("n"))
+    return grouped_percentiles(cells, [*groups, "variable"], shares)
 
 
 def proc_freq(df: DataFrame, column: str, by: str = "value") -> DataFrame:

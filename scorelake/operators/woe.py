@@ -8,17 +8,16 @@ from __future__ import annotations
 
 import json
 import math
-from collections.abc import Iterable, Sequence
+from collections.abc import Sequence
 from dataclasses import asdict, dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.edges import INF, bin_number, closed, equal_frequency_many, labels
+from .binning import EPS, chi_merge, chi_square, chi_square_p, merged_edges, tree_cuts, tree_edges
 from .gains import bin_counts, safe_ln_ratio
 
-EPS = 1e-6
-
 
 def woe_table(df: DataFrame, target: str, score: str, edges: Sequence[float], specials: Sequence[float] = (), keep_missing: bool = True, groups: Sequence[str] = ()) -> DataFrame:
     """Per bin: counts, shares, rate, lift over the unweighted mean of bin rates, WOE and IV (null for pure bins)."""
@@ -65,45 +64,6 @@ def monotone_merge(counts: Sequence[tuple[float, float]]) -> list[int]:
     return [n for _, _, n in runs]
 
 
-def chi_square(a: tuple[float, float], b: tuple[float, float]) -> float:
-    """Of two bins' (bad, good), with 1e-6 added to each cell."""
-    cells = [[x + EPS for x in a], [x + EPS for x in b]]
-    columns, total = [x + y for x, y in zip(*cells)], sum(map(sum, cells))
-    return sum((x - sum(row) * c / total) ** 2 / (sum(row) * c / total) for row in cells for x, c in zip(row, columns))
-
-
-def chi_square_p(x: float) -> float:
-    """Upper tail with one degree of freedom."""
-    return math.erfc(math.sqrt(x / 2))
-
-
-def chi_merge(counts: Sequence[tuple[float, float]], most: int, p: float = 0.95, least_share: float = 0.05) -> list[int]:
-    """Sizes of merged runs: pool the pair with the least chi-square while there are too many bins, a bin is too small, or a
-    pair does not differ at confidence p."""
-    runs = [[b, g, 1] for b, g in counts]
-    least = least_share * sum(map(sum, counts))
-    while len(runs) > 1:
-        chi = [chi_square(x[:2], y[:2]) for x, y in zip(runs[:-1], runs[1:])]
-        small = [i for i, r in enumerate(runs) if r[0] + r[1] < least]
-        if small:
-            k = small[0]
-            i = min((j for j in (k - 1, k) if 0 <= j < len(chi)), key=lambda j: chi[j])
-        else:
-            i = min(range(len(chi)), key=lambda j: (chi[j], j))
-            if len(runs) <= most and chi_square_p(chi[i]) <= 1 - p:
-                break
-        runs[i : i + 2] = [[x + y for x, y in zip(runs[i], runs[i + 1])]]
-    return [n for _, _, n in runs]
-
-
-def merged_edges(edges: Sequence[float], sizes: Sequence[int]) -> list[float]:
-    out, at = [edges[0]], 0
-    for n in sizes:
-        at += n
-        out.append(edges[at])
-    return out
-
-
 def cluster_categories(rates: Sequence[tuple[str, float, float]], most: int, least_share: float = 0.02, tolerance: float = 0.0) -> list[list[str]]:
     """(category, bad, good) -> groups of categories with neighbouring bad rates."""
     runs = [[[c], b, g] for c, b, g in sorted(rates, key=lambda r: (r[1] / max(r[1] + r[2], EPS), r[0]))]
@@ -180,11 +140,16 @@ class WoeModel:
         return sorted(((f.name, f.iv, len(f.woe)) for f in self.features), key=lambda r: (-r[1], r[0]))
 
 
-def fit_woe(df: DataFrame, target: str, numeric: Sequence[str] = (), categorical: Sequence[str] = (), n_init: int = 20, n_bins: int = 10, specials: Sequence[float] = (), monotone: bool = True, chi_p: float | None = None, most_categories: int = 8) -> WoeModel:
-    """Fit all features with two aggregates for the numeric ones (edges, then counts of all in one pass by unpivoting), one
-    for each categorical one. What reaches the driver is features times n_init rows."""
+def fit_woe(df: DataFrame, target: str, numeric: Sequence[str] = (), categorical: Sequence[str] = (), n_init: int = 20, n_bins: int = 10, specials: Sequence[float] = (), monotone: bool = True, chi_p: float | None = None, most_categories: int = 8, method: str = "frequency") -> WoeModel:
+    """method: frequency (initial bins, then merging) or tree (Gini splits, a few aggregates a feature).
+
+    By frequency, all numeric features are fitted together (edges, then counts of all in one pass by unpivoting), and each
+    categorical one by an aggregate. What reaches the driver is features times n_init rows."""
     labelled, out = df.where(F.col(target).isin(0, 1)), []
-    edges = equal_frequency_many(labelled, numeric, n_init, specials) if numeric else {}
+    if method == "tree":
+        edges = {c: tree_cuts(labelled, target, c, n_bins, specials=specials) for c in numeric}
+    else:
+        edges = equal_frequency_many(labelled, numeric, n_init, specials) if numeric else {}
     total_bad, total_good = labelled.agg(F.sum(F.when(F.col(target) == 1, 1).otherwise(0)), F.sum(F.when(F.col(target) == 0, 1).otherwise(0))).first()
     if numeric:
         cells = F.array(*(F.struct(F.lit(c).alias("feature"), bin_number(F.col(c), edges[c], specials, True).alias("bin")) for c in numeric))
@@ -227,42 +192,3 @@ def _runs(values: Sequence, sizes: Sequence[int]) -> list[list]:
 
 def _pool(counts: Sequence[tuple[float, float]], sizes: Sequence[int]) -> list[tuple[float, float]]:
     return [tuple(map(sum, zip(*run))) for run in _runs(counts, sizes)]
-
-
-def tree_edges(histogram: Iterable[tuple[float, float, float]], most_leaves: int, least_share: float = 0.05) -> list[float]:
-    """Best-first Gini splits of (value, bad, good) rows sorted by value; a threshold lies midway between neighbours."""
-    rows = sorted(histogram)
-    least = least_share * sum(b + g for _, b, g in rows)
-    gini = lambda b, g: (b + g) - (b * b + g * g) / (b + g) if b + g else 0.0
-
-    def best(a: int, z: int):
-        bads, goods = sum(r[1] for r in rows[a:z]), sum(r[2] for r in rows[a:z])
-        found, b, g = None, 0.0, 0.0
-        for i in range(a, z - 1):
-            b, g = b + rows[i][1], g + rows[i][2]
-            if min(b + g, bads + goods - b - g) >= least:
-                gain = gini(bads, goods) - gini(b, g) - gini(bads - b, goods - g)
-                if gain > 1e-12 and (found is None or gain > found[0]):
-                    found = (gain, i + 1)
-        return found
-
-    leaves = [(0, len(rows), best(0, len(rows)))]
-    edges = []
-    while len(leaves) < most_leaves and any(x[2] for x in leaves):
-        a, z, (_, cut) = leaf = max((x for x in leaves if x[2]), key=lambda x: x[2][0])
-        leaves.remove(leaf)
-        leaves += [(a, cut, best(a, cut)), (cut, z, best(cut, z))]
-        edges.append((rows[cut - 1][0] + rows[cut][0]) / 2)
-    return [-INF, *sorted(edges), INF]
-
-
-def value_histogram(df: DataFrame, target: str, column: str, most: int = 10_000) -> list[tuple[float, float, float]]:
-    """(value, bad, good) by distinct value; beyond `most` values, by that many percentiles of it."""
-    known = df.where(F.col(column).isNotNull() & F.col(target).isin(0, 1)).select(F.col(column).cast("double").alias("v"), F.col(target).alias("y"))
-    by_value = known.groupBy("v").agg(F.sum("y").alias("bad"), F.count("*").alias("n"))
-    rows = by_value.limit(most + 1).collect()
-    if len(rows) > most:
-        cuts = closed(known.agg(F.percentile("v", F.array(*(F.lit(k / 1000) for k in range(1, 1000))))).first()[0])
-        counted = known.groupBy(bin_number(F.col("v"), cuts).alias("b")).agg(F.max("v").alias("v"), F.sum("y").alias("bad"), F.count("*").alias("n"))
-        rows = counted.collect()
-    return [(r["v"], float(r["bad"]), float(r["n"] - r["bad"])) for r in rows]

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import scalars
+from ..functions.ordered import percentiles
 from ..functions.cleaning import nan_to_null, numeric_columns, require_columns
 from ..operators import compare, cross, gains, metrics, models, psi, sample, stats, woe
 from ..operators.apply import evaluate
@@ -56,9 +57,9 @@ def score_comparison(df: DataFrame, target: str, scores: Sequence[str], groups:
     """Performance overall and by group, gains per score, cross risk of the first score with each other."""
     df = nan_to_null(df)
     long = df.select(*groups, F.col(target).alias("y"), F.explode(F.array(*(F.struct(F.lit(s).alias("score"), F.col(s).cast("double").alias("s")) for s in scores))).alias("c")).select(*groups, "y", "c.*")
-    out = {"performance": metrics.auc_ks(long, "y", "s", ["score"], digits=6)}
+    out = {"performance": metrics.auc_ks(long, "y", "s", ["score"])}
     for g in groups:
-        out[f"performance_{g}"] = metrics.auc_ks(long, "y", "s", ["score", g], digits=6).where(F.col("n") >= min_rows)
+        out[f"performance_{g}"] = metrics.auc_ks(long, "y", "s", ["score", g]).where(F.col("n") >= min_rows)
     for s in scores:
         out[f"gains_{s}"] = gains.gains_table(df, target, s, n_bins)
     for s in scores[1:]:
@@ -141,7 +142,7 @@ def credit_model(df: DataFrame, config: CreditModelConfig) -> tuple[Report, dict
         fitted["gbt"] = models.fit_boosted(part, y, kept, rounds=config.rounds, offset="__start" if config.warm_start else None, evaluate=scored.where(F.col(split) == "oos"))
     for name in config.algorithms:
         scored = scored.withColumn(f"score_{name}", fitted[name].predict())
-        reports[f"performance_{name}"] = metrics.auc_ks(scored, y, f"score_{name}", [split], digits=6)
+        reports[f"performance_{name}"] = metrics.auc_ks(scored, y, f"score_{name}", [split])
         reports[f"gains_{name}"] = gains.gains_table(scored, y, f"score_{name}", groups=[split], ascending=False)
     reports["scored"] = scored
     return reports, fitted
@@ -159,7 +160,8 @@ def reject_inference(df: DataFrame, target: str, approved: str, features: Sequen
         evaluate_on = evaluate_on.withColumn(score, pre) if evaluate_on is not None else None
     rejected = df.where(F.col(approved) == 0)
     base = known.withColumns({target: F.col(target).cast("double"), "weight": F.lit(1.0)})
-    rate, cut = known.agg(F.avg(F.col(target).cast("double")), F.percentile(F.when(F.col(target) == 1, F.col(score)), 0.25)).first()
+    rate = known.agg(F.avg(F.col(target).cast("double"))).first()[0]
+    cut = (percentiles(known.where(F.col(target) == 1), {"s": F.col(score)}, [0.25])["s"] or [None])[0]
     combined, rows = {}, []
     for m in methods:
         if m == "fuzzy":
@@ -186,12 +188,12 @@ def reject_inference(df: DataFrame, target: str, approved: str, features: Sequen
                 w = F.col("weight")
                 c = c.withColumn("__y", F.explode(F.array(F.lit(0.0), F.lit(1.0)))).withColumn("weight", w * F.when(F.col("__y") == 1, F.col(target)).otherwise(1 - F.col(target))).withColumn(target, F.col("__y")).drop("__y")
             fit = models.fit_logistic(c, target, features, "weight")
-            r = metrics.auc_ks(evaluate_on.withColumn("__s", fit.predict()), target, "__s", digits=9).first()
+            r = metrics.auc_ks(evaluate_on.withColumn("__s", fit.predict()), target, "__s").first()
             rows.append((m, r["auc"], r["ks"]))
         out["ranking"] = df.sparkSession.createDataFrame(sorted(rows, key=lambda r: -(r[1] or 0)), "method string, auc double, ks double")
     return out
 
 
 def multi_dimension(df: DataFrame, labels: Sequence[str], score: str, groups: Sequence[str], subsets: dict[str, str], min_rows: int = 0) -> DataFrame:
-    """AUC and KS for group x subset x label."""
-    return evaluate(df, lambda part: metrics.auc_ks(part, "__label", score, digits=6), groups, subsets, labels, min_rows)
+    """AUC and KS for group x subset x label, in one plan."""
+    return evaluate(df, lambda long, keys: metrics.auc_ks(long, "__label", score, keys), groups, subsets, labels, min_rows)

@@ -560,11 +560,39 @@ def compare_coverage(t):
     return comparison(t).coverage()
 
 
-@query(SIDES + 'SELECT "column", count(*) AS n, count(*) FILTER (WHERE over OR one_null) AS n_diff, round(max(abs(diff)), 6) AS max_diff, round(avg(abs(diff)), 6) AS mean_diff, count(*) FILTER (WHERE one_null) AS n_one_null, round(count(*) FILTER (WHERE over OR one_null) / count(*), 6) AS diff_rate FROM c GROUP BY 1')
+@query(SIDES + 'SELECT "column", count(*) AS n, count(*) FILTER (WHERE over OR one_null) AS n_diff, round(max(abs(diff)), 6) AS max_diff, round(avg(abs(diff)), 6) AS mean_diff, count(*) FILTER (WHERE one_null) AS n_one_null, CAST(0 AS BIGINT) AS n_both_null, round(count(*) FILTER (WHERE over OR one_null) / count(*), 6) AS diff_rate FROM c GROUP BY 1')
 def compare_columns(t):
     return comparison(t).column_report()
 
 
+MIXED = """
+WITH v AS (SELECT o_orderkey AS k, CASE WHEN o_orderkey % 7 = 0 THEN 'abc' WHEN o_orderkey % 11 = 0 THEN NULL ELSE CAST(o_orderkey % 10 AS VARCHAR) END AS la,
+  CASE WHEN o_orderkey % 13 = 0 THEN NULL ELSE o_orderkey % 10 + CASE WHEN o_orderkey % 17 = 0 THEN 1.0 ELSE 0.0 END END AS ra,
+  CAST(o_orderkey % 5 AS VARCHAR) || '.0' AS lb, CASE WHEN o_orderkey % 19 = 0 THEN '9' WHEN o_orderkey % 23 = 0 THEN NULL ELSE CAST(o_orderkey % 5 AS VARCHAR) END AS rb,
+  'x' || CAST(o_orderkey % 3 AS VARCHAR) AS lc, CASE WHEN o_orderkey % 29 = 0 THEN '1' ELSE 'x' || CAST(o_orderkey % 3 AS VARCHAR) END AS rc FROM orders),
+n AS (SELECT TRY_CAST(la AS DOUBLE) AS la, CAST(ra AS DOUBLE) AS ra, CAST(lb AS DOUBLE) AS lb, CAST(rb AS DOUBLE) AS rb, lc, rc FROM v),
+c AS (SELECT 'a' AS "column", la - ra AS diff, la IS NULL AS ln, ra IS NULL AS rn, abs(la - ra) > 0.5 * abs(ra) AS over FROM n
+  UNION ALL SELECT 'b', lb - rb, lb IS NULL, rb IS NULL, abs(lb - rb) > 0 FROM n UNION ALL SELECT 'c', NULL, lc IS NULL, rc IS NULL, lc <> rc FROM n)
+SELECT "column", count(*) AS n, count(*) FILTER (WHERE coalesce(over, false) OR ln OR rn) AS n_diff, round(max(abs(diff)), 6) AS max_diff, round(avg(abs(diff)), 6) AS mean_diff,
+  count(*) FILTER (WHERE ln <> rn) AS n_one_null, count(*) FILTER (WHERE ln AND rn) AS n_both_null, round(count(*) FILTER (WHERE coalesce(over, false) OR ln OR rn) / count(*), 6) AS diff_rate FROM c GROUP BY 1
+"""
+
+
+@query(MIXED)
+def compare_mixed_types(t):
+    """Text against number (some texts are none), numbers written as texts on both sides, and texts; nulls never equal."""
+    key, num = F.col("o_orderkey"), lambda n: (F.col("o_orderkey") % n).cast("string")
+    left = t("orders").select("o_orderkey", F.when(key % 7 == 0, "abc").when(key % 11 == 0, None).otherwise(num(10)).alias("a"), F.concat(num(5), F.lit(".0")).alias("b"), F.concat(F.lit("x"), num(3)).alias("c"))
+    right = t("orders").select(
+        "o_orderkey",
+        F.when(key % 13 != 0, key % 10 + F.when(key % 17 == 0, 1.0).otherwise(0.0)).alias("a"),
+        F.when(key % 19 == 0, "9").when(key % 23 == 0, None).otherwise(num(5)).alias("b"),
+        F.when(key % 29 == 0, "1").otherwise(F.concat(F.lit("x"), num(3))).alias("c"),
+    )
+    config = compare.CompareConfig(["o_orderkey"], both_null_equal=False, column_tolerance={"a": {"rtol": 0.5}})
+    return compare.Comparison(left, right, config).column_report()
+
+
 @query(SIDES + """, n AS (SELECT *, CASE "column" WHEN 'o_totalprice' THEN 1 WHEN 'o_orderstatus' THEN 2 ELSE 3 END AS k FROM c WHERE over OR one_null)
 SELECT o_orderkey, string_agg("column", ',' ORDER BY k) AS columns, CAST(count(*) AS INTEGER) AS n_diff FROM n GROUP BY 1""")
 def compare_rows(t):

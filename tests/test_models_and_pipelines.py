@@ -67,8 +67,7 @@ def test_monotone_woe(apps):
     for r in got:
         k = int(np.searchsorted(numeric.edges[1:-1], r["feat_03"], side="left"))
         assert r["feat_03_woe"] == pytest.approx(numeric.woe[k])
-    hist = woe.value_histogram(apps, "y", "feat_03", most=100)
-    assert len(woe.tree_edges(hist, 4)) <= 5
+    assert len(woe.tree_cuts(apps, "y", "feat_03", 4)) <= 5
     assert woe.WoeModel.from_json(model.to_json()).mapping() == model.mapping()
 
 
