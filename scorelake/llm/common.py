@@ -37,11 +37,13 @@ def hash128(*cols: Column) -> tuple[Column, Column]:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """checkpoint() into the shared folder of spark.checkpoint.dir; a folder of our own only where that is unset."""
+    """checkpoint() into the shared folder of spark.checkpoint.dir; a folder of our own only on one machine, where it is unset."""
     spark = df.sparkSession
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         shared = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         if not shared:
             import tempfile
 
@@ -50,6 +52,21 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def computed(df: DataFrame, **columns: Column) -> DataFrame:
+    """df with columns that later filters read as values: a filter on a generated column doesn't repeat its expression."""
+    made = F.struct(*(c.alias(name) for name, c in columns.items()))
+    return df.select("*", F.explode(F.array(made)).alias("__made")).select(*df.columns, "__made.*")
+
+
+def join_spread(rows: DataFrame, found: DataFrame, keys: list[str], how: str, salts: int = 16) -> DataFrame:
+    """rows joined with found, a small table of one row a key: a key that many rows hold is dealt to `salts` tasks.
+
+    found is repeated for each salt, so any salt of a row gives the same result."""
+    salted = found.withColumn("__salt", F.explode(F.array(*(F.lit(k).cast("long") for k in range(salts)))))
+    spread = rows.withColumn("__salt", F.pmod(F.monotonically_increasing_id(), F.lit(salts)))
+    return spread.join(salted, [*keys, "__salt"], how).drop("__salt")
+
+
 def merged(docs: DataFrame, **results: Column) -> DataFrame:
     """docs with result columns, which replace input columns of the same name."""
     return docs.withColumns(results)

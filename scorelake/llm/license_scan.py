@@ -1,18 +1,24 @@
 """License scans: an exact set-similarity join of text blocks with licence notices, and phrase places.
 
-DataFrame functions only, in one pass without a shuffle after a counting pass.
+DataFrame functions only.
 
 * Words that occur in notices are ordered by their document frequency in the whole corpus, rarest first.
 * A block is a run of 2L words that starts at a multiple of L, where L is the longest notice: any passage of up to L words
   lies whole in a block. A block's token set is its words of that vocabulary, in the global order.
 * A notice of n distinct words is found where a block holds `need` = ceil(threshold * n) of them. Prefix filter: the first
-  n - need + 1 words of the notice and the first |block| - need + 1 of the block share a word. Length filter: the block has
-  `need` words. Positional filter: behind the first shared word, both have enough left. Survivors are counted exactly.
+  n - need + 1 words of the notice and the first |block| - need + 1 of the block share a word, so blocks emit their prefix
+  words and are joined with an inverted index of the notices' prefixes. Length filter: the block has `need` words.
+  Positional filter: behind the first shared word, both have enough left. Survivors are counted exactly.
 
-The notices are a parameter with a checked bound; they are literals of the plan, and an index from prefix words to them
-decides which documents get blocks at all.
+Notices come in blocks of BLOCK_NOTICES (a stated query set against all rows), so the index that is broadcast is bounded
+whatever their number. Texts are keyed by a 128-bit hash: copies of a text meet in the join's pre-aggregated result.
 
-Defined cases: a null or empty text has no words, no labels and score 0; repeated rows get equal results.
+Result columns beside those of the contract: share (greatest containment of a notice, null without), first_block and
+last_block (first word of the first and last block in which a notice was found). score is 1 where a base phrase stands,
+else the share.
+
+Defined cases: a null or empty text has no words, no labels and score 0; repeated rows get equal results; without notices
+only base phrases are found.
 """
 
 from __future__ import annotations
@@ -23,7 +29,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import lower_ascii, merged
+from .common import computed, hash128, join_spread, lower_ascii, merged
 
 #: What words are, and the phrases whose places count, with their labels.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -51,7 +57,8 @@ NOTICES = (
     ("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
     ("unlicense", "This is free and unencumbered software released into the public domain"),
 )
-MOST_NOTICES = 1000
+#: Notices of one pass over the texts.
+BLOCK_NOTICES = 500
 
 
 def word_list(text: str) -> list[str]:
@@ -59,7 +66,8 @@ def word_list(text: str) -> list[str]:
 
 
 def words_of(lowered: Column) -> Column:
-    return F.regexp_extract_all(lowered, F.lit(f"({WORD})"), F.lit(1))
+    """What lies between gaps; splitting is several times cheaper than extracting words one by one."""
+    return F.array_remove(F.split(lowered, GAP), "")
 
 
 def strings(values) -> Column:
@@ -77,26 +85,54 @@ def phrase_places(words: Column, parts: list[str], label: str) -> Column:
     return F.transform(starts, lambda i: F.struct(i.cast("long").alias("start"), F.lit(label).alias("label")))
 
 
-def license_scan(docs: DataFrame, notices=NOTICES, threshold: float = 0.9, text_col: str = "text") -> DataFrame:
-    """docs with n_words, n_base, first_word, last_word, base_labels, labels, score."""
-    if not 0 < len(notices) <= MOST_NOTICES:
-        raise ValueError(f"between 1 and {MOST_NOTICES} notices are needed, not {len(notices)}: they become part of the plan")
-    lowered = lower_ascii(F.coalesce(F.col(text_col), F.lit("")))
+def found_notices(texts: DataFrame, notices, threshold: float) -> DataFrame:
+    """h1, h2, block, label, share for the texts (h1, h2, words) and one block of notices."""
+    spark = texts.sparkSession
     sets = [(label, set(word_list(text)), len(word_list(text))) for label, text in notices]
     vocabulary = sorted(set().union(*(s for _, s, _ in sets)))
-    counted = docs.select(F.explode(F.array_intersect(words_of(lowered), strings(vocabulary))).alias("word")).groupBy("word").count()
-    frequency = {r["word"]: r["count"] for r in counted.collect()}  # at most the vocabulary of the notices
+    counted = texts.select(F.explode(F.array_intersect("words", strings(vocabulary))).alias("word")).groupBy("word").count()
+    frequency = {r["word"]: r["count"] for r in counted.collect()}  # at most the vocabulary of a block of notices
     order = sorted(vocabulary, key=lambda w: (frequency.get(w, 0), w))
     rank = {w: i for i, w in enumerate(order)}
     length = max(n for _, _, n in sets)
-    known = []
-    for label, tokens, _ in sets:
+    index = []
+    for number, (label, tokens, _) in enumerate(sets):
         need = math.ceil(threshold * len(tokens) - 1e-9)
         ordered = sorted(tokens, key=rank.get)
-        known.append((label, ordered, need, ordered[: len(tokens) - need + 1]))
-    prefixes = sorted({w for *_, p in known for w in p})
+        index += [(word, place, number, label, ordered, need) for place, word in enumerate(ordered[: len(tokens) - need + 1])]
+    prefixes = sorted({row[0] for row in index})
+    least = min(row[5] for row in index)
+
+    words = F.col("words")
+    starts = F.sequence(F.lit(0), F.greatest(F.ceil(F.size(words) / length).cast("int") - 2, F.lit(0)))
+    held = texts.where(F.arrays_overlap(words, strings(prefixes)))
+    blocks = held.select("h1", "h2", words, F.explode(starts).alias("b")).select("h1", "h2", (F.col("b") * length).cast("long").alias("block"), F.slice(words, F.col("b") * length + 1, F.lit(2 * length)).alias("run"))
+    blocks = blocks.where(F.arrays_overlap("run", strings(prefixes)))
+    sized = computed(blocks, tokens=F.array_intersect(strings(order), F.col("run"))).drop("run").where(F.size("tokens") >= least)
+    emitted = F.array_intersect(F.slice("tokens", F.lit(1), F.size("tokens") - least + 1), strings(prefixes))
+    emitted = sized.select("h1", "h2", "block", "tokens", F.explode(emitted).alias("word"))
+    table = spark.createDataFrame(index, "word string, place int, notice int, label string, own array<string>, need int")
+    size, at = F.size("tokens"), F.array_position("tokens", F.col("word")) - 1
+    pairs = emitted.join(F.broadcast(table), "word").where((size >= F.col("need")) & (at <= size - F.col("need")))
+    # the first shared word of each pair, and with it the positional filter; copies of a text end here
+    first = pairs.groupBy("h1", "h2", "block", "notice").agg(F.min(at).alias("at"), F.min("place").alias("place"), F.first(F.struct("tokens", "own", "need", "label")).alias("p")).select("h1", "h2", "block", "at", "place", "p.*")
+    left = F.least(F.size("own") - F.col("place"), F.size("tokens") - F.col("at"))
+    close = computed(first.where(left >= F.col("need")), both=F.size(F.array_intersect("tokens", "own")))
+    return close.where("both >= need").select("h1", "h2", "block", "label", (F.col("both") / F.size("own")).alias("share"))
 
-    found = docs.withColumn("__low", lowered).withColumn("__words", words_of(F.col("__low")))
+
+def license_scan(docs: DataFrame, notices=NOTICES, threshold: float = 0.9, text_col: str = "text") -> DataFrame:
+    """docs with n_words, n_base, first_word, last_word, base_labels, labels, score, share, first_block, last_block."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    h1, h2 = hash128(text)
+    texts = computed(docs.select(h1.alias("h1"), h2.alias("h2"), lower_ascii(text).alias("low")), words=words_of(F.col("low"))).drop("low")
+    hits = None
+    for at in range(0, len(notices), BLOCK_NOTICES):
+        part = found_notices(texts, notices[at : at + BLOCK_NOTICES], threshold)
+        hits = part if hits is None else hits.unionByName(part)
+
+    found = computed(docs, __h1=h1, __h2=h2, __low=lower_ascii(text))
+    found = computed(found, __words=words_of(F.col("__low")))
     words, low = F.col("__words"), F.col("__low")
     maybe = F.lit(False)
     places = []
@@ -105,37 +141,30 @@ def license_scan(docs: DataFrame, notices=NOTICES, threshold: float = 0.9, text_
         maybe = maybe | (F.contains(low, F.lit(max(parts, key=len))) & low.rlike(GAP.join(parts)))
         places.append(phrase_places(words, parts, label))
     nothing = F.array().cast("array<struct<start:bigint,label:string>>")
-    found = found.withColumn("__base", F.when(maybe & (F.size(words) > 0), F.concat(*places)).otherwise(nothing))
-
-    starts = F.sequence(F.lit(0), F.greatest(F.ceil(F.size(words) / length).cast("int") - 2, F.lit(0)))
-    blocks = F.transform(starts, lambda b: F.array_intersect(strings(order), F.slice(words, b * length + 1, F.lit(2 * length))))
-
-    def matches(block: Column) -> Column:
-        each = []
-        for label, tokens, need, prefix in known:
-            notice, size = strings(tokens), F.size(block)
-            shared = F.array_intersect(F.slice(block, F.lit(1), F.greatest(size - need + 1, F.lit(0))), strings(prefix))
-            left = F.least(len(tokens) - F.array_position(notice, F.get(shared, 0)), size - F.array_position(block, F.get(shared, 0)))
-            candidate = (size >= need) & (F.size(shared) > 0) & (1 + left >= need)
-            held = F.when(candidate, F.size(F.array_intersect(block, notice))).otherwise(0)
-            each.append(F.struct(F.lit(label).alias("label"), F.when(held >= need, held / len(tokens)).otherwise(0.0).alias("share")))
-        return F.filter(F.array(*each), lambda m: m["share"] > 0)
-
-    none = F.array().cast("array<struct<label:string,share:double>>")
-    hits = F.when(F.arrays_overlap(words, strings(prefixes)), F.flatten(F.transform(blocks, matches))).otherwise(none)
-    found = found.withColumn("__hits", hits)
+    base = F.when(maybe & (F.size(words) > 0), F.concat(*places)).otherwise(nothing)
+    found = computed(found.withColumn("__n", F.size(words).cast("long")), __base=base).drop("__low", "__words")
+    if hits is None:
+        found = found.withColumns({"__labels": F.array().cast("array<string>"), "__share": F.lit(None).cast("double"), "__first": F.lit(None).cast("long"), "__last": F.lit(None).cast("long")})
+    else:
+        told = hits.groupBy(F.col("h1").alias("__h1"), F.col("h2").alias("__h2")).agg(
+            F.collect_set("label").alias("__labels"), F.max("share").alias("__share"), F.min("block").alias("__first"), F.max("block").alias("__last")
+        )
+        found = join_spread(found, told, ["__h1", "__h2"], "left")
     base = F.col("__base")
     own = F.array_sort(F.array_distinct(base["label"]))
     result = {
-        "n_words": F.size(words).cast("long"),
+        "n_words": F.col("__n"),
         "n_base": F.size(base).cast("long"),
         "first_word": F.array_min(base["start"]),
         "last_word": F.array_max(base["start"]),
         "base_labels": F.array_join(own, ","),
-        "labels": F.array_join(F.array_sort(F.array_union(own, F.col("__hits")["label"])), ","),
-        "score": F.when(F.size(base) > 0, 1.0).otherwise(F.coalesce(F.array_max(F.col("__hits")["share"]), F.lit(0.0))),
+        "labels": F.array_join(F.array_sort(F.array_union(own, F.coalesce("__labels", F.array().cast("array<string>")))), ","),
+        "score": F.when(F.size(base) > 0, 1.0).otherwise(F.coalesce("__share", F.lit(0.0))),
+        "share": F.col("__share"),
+        "first_block": F.col("__first"),
+        "last_block": F.col("__last"),
     }
-    return merged(found, **result).drop("__low", "__words", "__base", "__hits")
+    return merged(found, **result).drop("__h1", "__h2", "__n", "__base", "__labels", "__share", "__first", "__last")
 
 
 def oracle_sql(notices=NOTICES, threshold: float = 0.9) -> str:
@@ -163,18 +192,18 @@ base AS (
   FROM places GROUP BY doc_id
 ),
 blocks AS (
-  SELECT doc_id, list_distinct(w[b * {length} + 1 : (b + 2) * {length}]) AS block
+  SELECT doc_id, b * {length} AS block_start, list_distinct(w[b * {length} + 1 : (b + 2) * {length}]) AS block
   FROM (SELECT doc_id, w, unnest(range(greatest(CAST(ceil(len(w) / {length}.0) AS BIGINT) - 1, 1))) AS b FROM d)
 ),
 held AS (
-  SELECT doc_id, label, len(list_intersect(block, tokens)) AS n, len(tokens) AS size, need FROM blocks, t
+  SELECT doc_id, block_start, label, len(list_intersect(block, tokens)) AS n, len(tokens) AS size, need FROM blocks, t
 ),
 found AS (
-  SELECT doc_id, list(DISTINCT label) AS labels, max(CAST(n AS DOUBLE) / size) AS share FROM held WHERE n >= need GROUP BY doc_id
+  SELECT doc_id, list(DISTINCT label) AS labels, max(CAST(n AS DOUBLE) / size) AS share, min(block_start) AS first_block, max(block_start) AS last_block FROM held WHERE n >= need GROUP BY doc_id
 )
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n, 0) AS n_base, first_word, last_word,
   coalesce(array_to_string(base.labels, ','), '') AS base_labels,
   coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(base.labels, []), coalesce(found.labels, [])))), ','), '') AS labels,
-  CASE WHEN n > 0 THEN 1.0 ELSE coalesce(share, 0.0) END::DOUBLE AS score
+  CASE WHEN n > 0 THEN 1.0 ELSE coalesce(share, 0.0) END::DOUBLE AS score, share, first_block, last_block
 FROM d LEFT JOIN base USING (doc_id) LEFT JOIN found USING (doc_id)
 """

@@ -39,7 +39,7 @@ def bpe_pattern() -> str:
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = license_scan(documents(spark, sf_dir).select("doc_id", "text"))
-    return out.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+    return out.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "share", "first_block", "last_block")
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
