@@ -3,17 +3,18 @@
 DataFrame functions only. A document is contaminated by an item where one of its windows of the item's length in words has
 a weighted shingle similarity of at least 0.8 with it (five words a shingle, weighted by its characters, as sets).
 
-1. Anchors. An item's rarest words (by their count in the whole corpus) are taken until the shingles that hold one carry
-   over a fifth of the item's weight. A window that reaches 0.8 misses at most a fifth, so it holds such a shingle and with
-   it an anchor: windows without one are passed over, and no window that counts is.
-2. Around each anchor's place, all windows of the item's length that hold it are formed (each by the first anchor in it).
-   Places whose surroundings hold less than 0.8 of the item's weight are dropped, as no window there can reach it.
-3. Windows get 64-bit SimHash fingerprints. Each item is indexed by 8 blocks of 8 bits with all values within 2 bits: a
-   fingerprint within RADIUS = 23 bits has such a block. (A window at similarity 0.8 expects 10 differing bits.)
-4. Candidates within the radius are verified exactly.
-
-Items come in blocks of bounded size (a stated query set against all rows); what is broadcast or put into a plan is one
-block. Texts are keyed by a 128-bit hash, so copies are examined once, however many there are.
+1. Which windows are fingerprinted (a lossless prefilter; all windows of all lengths would be too many). An item's rarest
+   words (by their count in the whole corpus) are taken until the shingles that hold one carry over a fifth of the item's
+   weight. A window that reaches 0.8 misses at most a fifth, so it holds such a shingle and with it an anchor; and the
+   surroundings of each of its anchors hold at least 0.8 of the item's weight. Windows of an item's length about such
+   places are formed, each once.
+2. Windows get 64-bit SimHash fingerprints. Items are indexed by their length and by 8 blocks of 8 bits with all values
+   within 2 bits; windows are joined with the index on (length, block, value). All items within RADIUS = 23 bits of a
+   fingerprint are found that way, whichever item its anchor is of. (A window at similarity 0.8 expects 10 differing bits.)
+3. Candidates within the radius are verified exactly.
+
+Items come in blocks of bounded size (a stated query set against all rows); what is broadcast is one block. Texts are
+keyed by a 128-bit hash, so copies are examined once, however many there are.
 
 Defined cases: a null or empty text matches nothing; an item of fewer words than a shingle has no shingles and matches
 nothing; a document shorter than an item has one window, itself; repeated rows and repeated items each get their pairs.
@@ -24,8 +25,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut_lineage, hash128, lower_ascii
-from .license_scan import strings, words_of
+from .common import computed, cut_lineage, hash128, join_spread, lower_ascii
+from .license_scan import words_of
 
 #: Shingle length, similarity in hundredths, radius in bits (of 8 blocks, one is then within RADIUS // 8), and the words of
 #: a block of items.
@@ -68,12 +69,6 @@ def _packed(bits: list[Column]) -> Column:
     return out
 
 
-def computed(df: DataFrame, **columns: Column) -> DataFrame:
-    """df with columns that later filters read as values: a filter on a generated column doesn't repeat its expression."""
-    made = F.struct(*(c.alias(name) for name, c in columns.items()))
-    return df.select("*", F.explode(F.array(made)).alias("__made")).select(*df.columns, "__made.*")
-
-
 def choose_anchors(words: list[str], frequency: dict[str, int]) -> list[str]:
     parts = {tuple(words[j : j + WORDS]) for j in range(len(words) - WORDS + 1)}
     size = {p: len(" ".join(p)) for p in parts}
@@ -96,53 +91,55 @@ def _matches(texts: DataFrame, items: list[tuple[int, list[str]]]) -> DataFrame:
     chosen = [(number, words, choose_anchors(words, frequency)) for number, words in items]
     anchors = sorted({a for *_, own in chosen for a in own})
     longest = max(len(words) for _, words in items)
-    masks = [a | b for i, a in enumerate([0, *(1 << k for k in range(8))]) for b in [0, *(1 << k for k in range(8))][: i + 1]]
-    near = F.array(*(F.lit(m) for m in sorted(set(masks))))
     table = spark.createDataFrame(chosen, "item int, item_words array<string>, anchors array<string>")
-    table = table.withColumn("own", F.array_distinct(shingles_of(F.col("item_words")))).withColumns({"need": weight(F.col("own")), "mark": simhash(F.col("own"))})
-    blocks = F.array(*(F.transform(near, _moved(F.col("mark"), b)) for b in range(8)))
-    table = table.select("item", F.size("item_words").alias("n"), "anchors", "own", "need", "mark", blocks.alias("index"), F.explode("anchors").alias("word"))
-
+    table = table.withColumn("own", F.array_distinct(shingles_of(F.col("item_words")))).withColumns({"need": weight(F.col("own")), "mark": simhash(F.col("own")), "n": F.size("item_words")})
+    by_anchor = table.select("item", "n", "anchors", "own", "need", F.explode("anchors").alias("word"))
+    masks = sorted({a | b for a in (0, *(1 << k for k in range(8))) for b in (0, *(1 << k for k in range(8)))})
+    near = F.array(*(F.lit(m) for m in masks))
+    values = F.concat(*(F.transform(near, _valued(F.col("mark"), b)) for b in range(8)))
+    index = table.select("n", "item", "own", "need", "mark", F.explode(values).alias("v")).select("n", "item", "own", "need", "mark", "v.*")
+
+    # one word of each text at a time meets the anchors; what lies about a place is cut out only where one is met
     words = F.col("words")
-    matched = F.array_intersect(words, strings(anchors))
-
-    def region(word: Column, i: Column) -> Column:
-        start = F.greatest(i - (longest - 1), F.lit(0))
-        return F.struct(word.alias("word"), (i - start).alias("at"), start.alias("start"), F.slice(words, start + 1, i - start + longest).alias("region"))
-
-    def regions(word: Column) -> Column:
-        return F.transform(F.filter(F.sequence(F.lit(0), F.size(words) - 1), lambda i: F.get(words, i) == word), lambda i: region(word, i))
-
-    held = texts.where(F.arrays_overlap(words, strings(anchors)))
-    places = held.select("h1", "h2", F.explode(F.flatten(F.transform(matched, regions))).alias("p")).select("h1", "h2", "p.*")
-    # copies of a text end here; this also deals the places out evenly
-    places = places.withColumn("pos", F.col("start") + F.col("at")).dropDuplicates(["h1", "h2", "pos"])
-    places = computed(places, parts=shingles_of(F.col("region")))
-    found = places.join(F.broadcast(table), "word")
+    known = spark.createDataFrame([(a,) for a in anchors], "word string")
+    start = F.greatest(F.col("pos") - (longest - 1), F.lit(0))
+    places = texts.select("h1", "h2", words, F.posexplode(words).alias("pos", "word")).join(F.broadcast(known), "word")
+    places = places.select("h1", "h2", "word", "pos", start.alias("start"), F.slice(words, start + 1, F.col("pos") - start + longest).alias("region"))
+    # copies of a text end here; a fixed number of parts deals the places out evenly, as few bytes are much work
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    places = places.repartition(tasks, "h1", "h2", "pos").dropDuplicates(["h1", "h2", "pos"])
+    places = computed(places, parts=shingles_of(F.col("region")), at=F.col("pos") - F.col("start"))
+    found = places.join(F.broadcast(by_anchor), "word")
     found = found.where(weight(F.array_intersect("own", "parts")) * 100 >= F.col("need") * NEED)
     before = F.filter(F.sequence(F.lit(0), F.col("at")), lambda i: (i < F.col("at")) & F.array_contains(F.col("anchors"), F.get(F.col("region"), i)))
     low = F.greatest(F.col("at") - F.col("n") + 1, F.coalesce(F.array_max(before) + 1, F.lit(0)), F.lit(0))
     top = F.greatest(F.least(F.col("at"), F.size("region") - F.col("n")), F.lit(0))
     found = computed(found, low=low, top=top).where("low <= top")
-    windows = found.select("h1", "h2", "item", "own", "need", "mark", "index", "n", "parts", F.explode(F.sequence("low", "top")).alias("s"))
+    windows = found.select("h1", "h2", "n", "start", "parts", F.explode(F.sequence("low", "top")).alias("s"))
     window = F.array_distinct(F.slice("parts", F.col("s") + 1, F.greatest(F.col("n") - (WORDS - 1), F.lit(0))))
-    windows = computed(windows, window=window).drop("parts", "n", "s")
+    windows = windows.select("h1", "h2", "n", (F.col("start") + F.col("s")).alias("first"), window.alias("window"))
+    windows = windows.repartition(tasks, "h1", "h2", "first", "n").dropDuplicates(["h1", "h2", "first", "n"])
     windows = computed(windows, print=simhash(F.col("window")))
-    block = lambda b: F.shiftrightunsigned("print", 8 * b).bitwiseAND(F.lit(255).cast("long")).cast("int")
-    indexed = F.lit(False)
-    for b in range(8):
-        indexed = indexed | F.array_contains(F.get("index", F.lit(b)), block(b))
-    close = windows.where(indexed & (F.bit_count(F.col("print").bitwiseXOR(F.col("mark"))) <= RADIUS))
-    both = weight(F.array_intersect("window", "own"))
-    close = computed(close.drop("index"), both=both, size=weight(F.col("window")))
+
+    blocks = F.array(*(F.struct(F.lit(b).alias("block"), _bits(F.col("print"), b).alias("value")) for b in range(8)))
+    looked = windows.select("h1", "h2", "n", "first", "print", "window", F.explode(blocks).alias("v")).select("h1", "h2", "n", "first", "print", "window", "v.*")
+    close = looked.join(F.broadcast(index), ["n", "block", "value"]).where(F.bit_count(F.col("print").bitwiseXOR(F.col("mark"))) <= RADIUS)
+    # a pair that agrees in several blocks is verified at the first of them
+    moved = [F.bit_count(_bits(F.col("print").bitwiseXOR(F.col("mark")), b)) <= RADIUS // 8 for b in range(8)]
+    least = F.coalesce(*(F.when(m, F.lit(b)) for b, m in enumerate(moved)))
+    close = computed(close.where(least == F.col("block")), both=weight(F.array_intersect("window", "own")), size=weight(F.col("window")))
     close = close.withColumn("all", F.col("size") + F.col("need") - F.col("both"))
     close = close.where("both > 0").where(F.col("both") * 100 >= F.col("all") * NEED)
     return close.groupBy("h1", "h2", "item").agg(F.max(F.col("both") / F.col("all")).alias("similarity"))
 
 
-def _moved(mark: Column, b: int):
-    value = F.shiftrightunsigned(mark, 8 * b).bitwiseAND(F.lit(255).cast("long")).cast("int")
-    return lambda m: value.bitwiseXOR(m)
+def _bits(mark: Column, b: int) -> Column:
+    """The b-th block of 8 bits."""
+    return F.shiftrightunsigned(mark, 8 * b).bitwiseAND(F.lit(255).cast("long")).cast("int")
+
+
+def _valued(mark: Column, b: int):
+    return lambda m: F.struct(F.lit(b).alias("block"), _bits(mark, b).bitwiseXOR(m).alias("value"))
 
 
 def matching_texts(docs: DataFrame, items: DataFrame, text_col: str = "text", item_text: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -176,7 +173,8 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
     named = items.select(F.col(item_id).alias("item_id"), tokens.alias("words"))
     h1, h2 = hash128(F.coalesce(F.col(text_col), F.lit("")))
     rows = docs.select(F.col(id_col).alias("id"), h1.alias("h1"), h2.alias("h2"))
-    pairs = rows.join(matches, ["h1", "h2"]).join(named, "words")
+    # a text's matches are few (the items it holds); they are repeated for the salts, not the rows
+    pairs = join_spread(rows, matches, ["h1", "h2"], "inner").join(named, "words")
     return pairs.select(F.col("id").alias(id_col), "item_id", "similarity")
 
 
@@ -185,4 +183,4 @@ def decontaminate(docs: DataFrame, items: DataFrame, text_col: str = "text", ite
     matches, _ = matching_texts(docs, items, text_col, item_text)
     bad = matches.select(F.col("h1").alias("__h1"), F.col("h2").alias("__h2")).distinct()
     h1, h2 = hash128(F.coalesce(F.col(text_col), F.lit("")))
-    return docs.join(bad, (h1 == F.col("__h1")) & (h2 == F.col("__h2")), "left_anti")
+    return join_spread(docs.withColumns({"__h1": h1, "__h2": h2}), bad, ["__h1", "__h2"], "left_anti").select(*docs.columns)
