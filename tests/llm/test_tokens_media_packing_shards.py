@@ -34,7 +34,7 @@ def test_token_counts_equal_the_library(spark, odd, empty, library):
 
 
 def test_splices_of_chunks_equal_whole_texts(library):
-    counter = token_count.Counter(queries.vocabulary("piece_bpe_32k.model"), huge_chars=24, chunk_chars=20, overlap=3)
+    counter = token_count.Counter(queries.vocabulary("piece_bpe_32k.model"), chunk_chars=20, overlap=3)
     assert counter.proven
     rng = random.Random(2)
     parts = ["a", "the", " ", "  ", "\n", "é", "日本", "😀", "▁", "<s>", "x" * 30, " b", ","]
