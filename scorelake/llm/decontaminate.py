@@ -97,7 +97,7 @@ def _matches(texts: DataFrame, items: list[tuple[int, list[str]]]) -> DataFrame:
     masks = sorted({a | b for a in (0, *(1 << k for k in range(8))) for b in (0, *(1 << k for k in range(8)))})
     near = F.array(*(F.lit(m) for m in masks))
     values = F.concat(*(F.transform(near, _valued(F.col("mark"), b)) for b in range(8)))
-    index = table.select("n", "item", "own", "need", "mark", F.explode(values).alias("v")).select("n", "item", "own", "need", "mark", "v.*")
+    index = table.select("n", "item", "mark", F.explode(values).alias("v")).select("n", "item", "mark", "v.*")
 
     # one word of each text at a time meets the anchors; what lies about a place is cut out only where one is met
     words = F.col("words")
@@ -127,7 +127,8 @@ def _matches(texts: DataFrame, items: list[tuple[int, list[str]]]) -> DataFrame:
     # a pair that agrees in several blocks is verified at the first of them
     moved = [F.bit_count(_bits(F.col("print").bitwiseXOR(F.col("mark")), b)) <= RADIUS // 8 for b in range(8)]
     least = F.coalesce(*(F.when(m, F.lit(b)) for b, m in enumerate(moved)))
-    close = computed(close.where(least == F.col("block")), both=weight(F.array_intersect("window", "own")), size=weight(F.col("window")))
+    close = close.where(least == F.col("block")).drop("n").join(F.broadcast(table.select("item", "own", "need")), "item")
+    close = computed(close, both=weight(F.array_intersect("window", "own")), size=weight(F.col("window")))
     close = close.withColumn("all", F.col("size") + F.col("need") - F.col("both"))
     close = close.where("both > 0").where(F.col("both") * 100 >= F.col("all") * NEED)
     return close.groupBy("h1", "h2", "item").agg(F.max(F.col("both") / F.col("all")).alias("similarity"))
