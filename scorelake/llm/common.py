@@ -4,6 +4,7 @@ Conventions that hold for every operator of this subpackage:
 
 * only the named id and text columns are read; every other input column is carried through untouched;
 * where a result column has the name of an input column, the result replaces it;
+* names that begin with two underscores are the operators' own, input columns don't have them;
 * a null text counts as the empty text.
 """
 
@@ -26,6 +27,11 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def file_place() -> Column:
+    """A number of a row of a Parquet table: a hash of its file and its place there, the same in each read."""
+    return F.xxhash64("_metadata.file_path", "_metadata.row_index")
+
+
 def lower_ascii(c: Column) -> Column:
     """A-Z lower-cased, all other characters kept. Texts of ASCII alone take the byte-wise path of lower()."""
     return F.when(F.octet_length(c) == F.char_length(c), F.lower(c)).otherwise(F.translate(c, UPPER, LOWER))

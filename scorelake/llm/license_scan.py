@@ -85,18 +85,17 @@ def phrase_places(words: Column, parts: list[str], label: str) -> Column:
     return F.transform(starts, lambda i: F.struct(i.cast("long").alias("start"), F.lit(label).alias("label")))
 
 
-def found_notices(texts: DataFrame, notices, threshold: float) -> DataFrame:
-    """h1, h2, block, label, share for the texts (h1, h2, words) and one block of notices."""
+def found_notices(texts: DataFrame, notices, threshold: float, length: int) -> DataFrame:
+    """h1, h2, block, label, share for the texts (h1, h2, words) and one block of notices, all of at most `length` words."""
     spark = texts.sparkSession
-    sets = [(label, set(word_list(text)), len(word_list(text))) for label, text in notices]
-    vocabulary = sorted(set().union(*(s for _, s, _ in sets)))
+    sets = [(label, set(word_list(text))) for label, text in notices]
+    vocabulary = sorted(set().union(*(s for _, s in sets)))
     counted = texts.select(F.explode(F.array_intersect("words", strings(vocabulary))).alias("word")).groupBy("word").count()
     frequency = {r["word"]: r["count"] for r in counted.collect()}  # at most the vocabulary of a block of notices
     order = sorted(vocabulary, key=lambda w: (frequency.get(w, 0), w))
     rank = {w: i for i, w in enumerate(order)}
-    length = max(n for _, _, n in sets)
     index = []
-    for number, (label, tokens, _) in enumerate(sets):
+    for number, (label, tokens) in enumerate(sets):
         need = math.ceil(threshold * len(tokens) - 1e-9)
         ordered = sorted(tokens, key=rank.get)
         index += [(word, place, number, label, ordered, need) for place, word in enumerate(ordered[: len(tokens) - need + 1])]
@@ -126,9 +125,9 @@ def license_scan(docs: DataFrame, notices=NOTICES, threshold: float = 0.9, text_
     text = F.coalesce(F.col(text_col), F.lit(""))
     h1, h2 = hash128(text)
     texts = computed(docs.select(h1.alias("h1"), h2.alias("h2"), lower_ascii(text).alias("low")), words=words_of(F.col("low"))).drop("low")
-    hits = None
+    hits, length = None, max((len(word_list(text)) for _, text in notices), default=1)
     for at in range(0, len(notices), BLOCK_NOTICES):
-        part = found_notices(texts, notices[at : at + BLOCK_NOTICES], threshold)
+        part = found_notices(texts, notices[at : at + BLOCK_NOTICES], threshold, length)
         hits = part if hits is None else hits.unionByName(part)
 
     found = computed(docs, __h1=h1, __h2=h2, __low=lower_ascii(text))

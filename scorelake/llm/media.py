@@ -143,6 +143,8 @@ def rebuilt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for name, part in zip(names, parts):
                 if hashlib.sha256(part).digest() != name:
                     raise ValueError(f"a stored chunk differs from its digest {name.hex()}")
+            if (hashlib.sha256(b"".join(names)).digest() if len(names) > 1 else names[0]) != recipe:
+                raise ValueError(f"the chunks found are not those of recipe {recipe.hex()}")
             medium = wav(b"".join(parts))
             back = samples(medium)
             row = (recipe, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(medium), hashlib.sha256(medium).hexdigest(), feature(back))
@@ -175,6 +177,8 @@ def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     parts = found.where("NOT alone").groupBy("recipe").agg(F.sort_array(F.collect_list(F.struct("pos", "digest", "bytes"))).alias("parts"))
     together = parts.select("recipe", F.col("parts.digest").alias("digests"), F.col("parts.bytes").alias("blobs"))
     media = alone.unionByName(together).mapInArrow(rebuilt, MEDIA_SCHEMA)
-    out = lists.select("id", "recipe", "n_bytes").join(media, "recipe").drop("recipe")
+    out = lists.select("id", "recipe", "n_bytes").join(media, "recipe", "left")
+    lost = F.raise_error(F.concat(F.lit("no medium for recipe "), F.hex("recipe")))
+    out = out.withColumn("payload_sha256", F.when(F.col("payload_sha256").isNull(), lost).otherwise(F.col("payload_sha256"))).drop("recipe")
     return out.withColumnRenamed("id", id_col)
 

@@ -6,7 +6,8 @@ Texts become sets of hashed word shingles; equal sets are one class. Two classes
   demands, for every partner size that can link; linked sets share such a subset.
 * Heavy (the larger set above the boundary): inverted lists of prefixes. A global order puts frequent shingles last
   (frequencies from a counter table over the whole corpus, of a size that follows it up to a bound; any fixed order is
-  exact, this one keeps lists short). Linked sets share a shingle among their first n - ceil(0.8 n) + 1. Size and position bounds discard the rest.
+  exact, this one keeps lists short. Beyond the bound a counter is shared by ever more shingles: rare ones then come in an
+  order of chance among themselves, but a shingle far more frequent than a counter's share still comes last). Linked sets share a shingle among their first n - ceil(0.8 n) + 1. Size and position bounds discard the rest.
 * The boundary minimises subsets listed plus list entries and the partners expected for each, from the size histogram.
 
 What leaves the operator is components, so not all pairs are needed: each list has a hub (the member
@@ -187,12 +188,13 @@ def entries(frequency, size: int, boundary: int):
                 n = len(s)
                 if not n:
                     continue
-                hi = signature(s)[0]
-                if hi in seen:
+                both = signature(s)
+                if both in seen:
                     continue
                 if len(seen) >= 500_000:
                     seen.clear()
-                seen.add(hi)
+                seen.add(both)
+                hi = both[0]
                 own = []
                 if n <= boundary:
                     for b in range(n, min(boundary, OF * n // NEED) + 1):
@@ -272,7 +274,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if boundary is None:
         small = {r["n"]: r["count"] for r in classes.where(F.col("n") <= LIGHT).groupBy("n").count().collect()}
         boundary = choose_boundary(small, float((table.astype(np.float64) ** 2).sum() / max(table.sum(dtype=np.float64), 1)))
-    frequency = spark.sparkContext.broadcast(np.minimum(table, 0xFFFF).astype(np.uint16))  # of bounded size
+    # an eighth of an octave a step: a byte a counter orders all frequencies, and the table is of bounded size
+    frequency = spark.sparkContext.broadcast(np.floor(8 * np.log2(1.0 + table.astype(np.float64))).astype(np.uint8))
     listed = named.select("text").mapInArrow(entries(frequency, counted, boundary), "key long, hi long, n int, pos int")
     # a list's entry without a neighbour of fitting size, or a list of two that cannot link, ends here
     by_key, by_size = Window.partitionBy("key"), Window.partitionBy("key").orderBy("n")

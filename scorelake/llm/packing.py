@@ -106,9 +106,13 @@ def pack(
     linear: float = 1.0,
     quadratic: float = 1.0 / 2048,
     bucket_bytes: int = 4 << 20,
+    salt_col: str | None = None,
 ) -> DataFrame:
-    """id, start, length, ids_crc32, doc_tokens, sequence_id, offset of each piece."""
-    named = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    """id, start, length, ids_crc32, doc_tokens, sequence_id, offset of each piece.
+
+    salt_col: a long that a second read of the row repeats; it deals pieces of equal id and tokens to several buckets."""
+    salt = F.col(salt_col) if salt_col else F.lit(0)
+    named = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), salt.cast("long").alias("salt"))
     total = named.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     buckets = total // bucket_bytes + 1
     kind = named.schema["doc_id"].dataType.simpleString()
@@ -129,8 +133,8 @@ def pack(
                     for column, value in zip(rows, row):
                         column.append(value)
             yield pa.RecordBatch.from_arrays(
-                [keys.take(pa.array(rows[0], pa.int32())), *(pa.array(c, pa.int64()) for c in rows[1:5]), pa.array(rows[5], pa.binary())],
-                ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids"],
+                [keys.take(at := pa.array(rows[0], pa.int32())), *(pa.array(c, pa.int64()) for c in rows[1:5]), pa.array(rows[5], pa.binary()), batch.column(2).take(at)],
+                ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids", "salt"],
             )
 
     def place(key: Tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
@@ -162,8 +166,8 @@ def pack(
             }
         )
 
-    pieces = named.mapInArrow(cut, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, ids binary")
-    dealt = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(buckets)).cast("long"))
+    pieces = named.mapInArrow(cut, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, ids binary, salt long")
+    dealt = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", "salt"), F.lit(buckets)).cast("long")).drop("salt")
     packed = dealt.groupBy("bucket").applyInArrow(
         place, f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
     )

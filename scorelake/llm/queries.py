@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents
+from .common import documents, file_place
 from . import license_scan as licences
 from .decontaminate import contaminated
 from .license_scan import license_scan
@@ -56,7 +56,8 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"), bpe_pattern())
+    docs = documents(spark, sf_dir).withColumn("__place", file_place())
+    return pack(docs, vocabulary("byte_bpe_50k.json"), bpe_pattern(), salt_col="__place")
 
 
 def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,7 +88,8 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The layout before: one file for each of 16 groups of sources, so a hot source makes one shard far too large."""
     before = F.pmod(F.crc32(F.encode(F.coalesce("source", F.lit("")), "utf-8")), F.lit(16))
-    out = reshard(documents(spark, sf_dir), before, 16)
+    docs = documents(spark, sf_dir).withColumn("__place", file_place())
+    out = reshard(docs, before, 16, salt=F.col("__place"))
     return out.select(
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "old_shard"
     )

@@ -1,10 +1,15 @@
 """Sharding: minimum-cost-flow resharding by the law of rows (shard counts at most one apart).
 
 The old shards' rows are summed in blocks (old shard, size class). A minimum-cost flow from blocks to new shards, where
-staying costs nothing and leaving costs the block's bytes a row, finds the transfers that move the fewest bytes. Its
-graph is bounded by old shards times size classes, never by rows. Every row then gets its rank in its block from
-per-bucket counts and a row number within a bucket, and the flow's rank intervals give shard and slot at once, so no
-window ever holds a whole shard.
+staying costs nothing and leaving costs the block's bytes a row, finds the transfers. Its graph is bounded by old shards
+times size classes, never by rows. Rows are ranked by size within a block, and a block's smallest rows leave it: of each
+old shard exactly its smallest rows leave, which are the fewest bytes for that many rows. (Which shards end with one row
+more is decided by the classes' mean sizes; that is the only place where the bytes can exceed the least, by at most one
+row's share of a class, a fifth of its size, for each shard.)
+
+A row's rank is the rows of smaller sizes in its block, from counts by size, and a row number within its size; sizes of
+many rows are dealt to buckets, so no window holds a whole shard or a whole size. The flow's rank intervals then give
+shard and slot at once.
 
 Defined cases: null texts have size 1 and checksum 0; null ids and repeated rows are rows like any other; an empty table
 gives an empty result.
@@ -59,8 +64,8 @@ def min_cost_flow(edges: list[tuple[int, int, int, float]], source: int, sink: i
 def plan_transfers(blocks: list[tuple[int, int, int, int]], n_new: int) -> list[tuple[int, int, int, int, int, int]]:
     """Rank intervals (old, class, lo, hi, shard, first slot) for blocks (old, class, rows, bytes).
 
-    A block stays at no cost in the new shard of its own number; its rows leave through a pool at their mean bytes. A new
-    shard takes floor(rows / n_new) freely and one more at a price above any transfer, so counts end at most one apart.
+    A block stays at no cost in the new shard of its own number; its rows leave through a pool at their mean bytes, the
+    lowest ranks first. A new shard takes floor(rows / n_new) freely and one more at a price above any transfer, so counts end at most one apart.
     """
     total = sum(b[2] for b in blocks)
     floor = total // n_new
@@ -80,11 +85,10 @@ def plan_transfers(blocks: list[tuple[int, int, int, int]], n_new: int) -> list[
     takes = [flow[3 * len(blocks) + 3 * j] for j in range(n_new)]
     used, out, j = [0] * n_new, [], 0
     for k, (old, cls, rows, _) in enumerate(blocks):
-        at = 0
+        at, rows = 0, rows - stays[k]
         if stays[k]:
-            out.append((old, cls, 0, stays[k], old, used[old]))
+            out.append((old, cls, rows, rows + stays[k], old, used[old]))
             used[old] += stays[k]
-            at = stays[k]
         while at < rows:
             while not takes[j]:
                 j += 1
@@ -96,37 +100,43 @@ def plan_transfers(blocks: list[tuple[int, int, int, int]], n_new: int) -> list[
     return out
 
 
-def reshard(docs: DataFrame, old_shard: Column, n_new: int, id_col: str = "doc_id", text_col: str = "text", bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+def reshard(docs: DataFrame, old_shard: Column, n_new: int, id_col: str = "doc_id", text_col: str = "text", bucket_rows: int = BUCKET_ROWS, salt: Column | None = None) -> DataFrame:
     """docs with size, text_crc32, old_shard, shard and slot.
 
     old_shard: an int column from 0, the number of the shard that a row lies in now (as many as the layout has files).
+    salt: a number of the row that a second read repeats (as a hash of its file and place there); it deals rows of equal
+    id and text to several buckets.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     size = F.octet_length(text).cast("long") + 1
-    rows = docs.withColumns({"size": size, "text_crc32": F.crc32(F.encode(text, "utf-8")), "old_shard": old_shard.cast("int")})
+    made = {"__salt": salt if salt is not None else F.lit(0), "__size": size, "__crc": F.crc32(F.encode(text, "utf-8")), "__old_shard": old_shard.cast("int")}
+    named = {"__size": "size", "__crc": "text_crc32", "__old_shard": "old_shard"}
+    rows = docs.withColumns(made).drop(*named.values(), "shard", "slot").withColumnsRenamed(named)
     rows = rows.withColumn("__class", F.floor(F.log2(F.col("size").cast("double")) * CLASSES).cast("int"))
-    summed = rows.groupBy("old_shard", "__class").agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))
+    cells = rows.groupBy("old_shard", "__class", "size").agg(F.count("*").alias("__rows"))
+    summed = cells.groupBy("old_shard", "__class").agg(F.sum("__rows").alias("n"), F.sum(F.col("size") * F.col("__rows")).alias("bytes"))
     blocks = sorted((r["old_shard"], r["__class"], r["n"], r["bytes"]) for r in summed.collect())
-    most = max((b[2] for b in blocks), default=0)
-    buckets = most // bucket_rows + 1
     intervals = docs.sparkSession.createDataFrame(
         plan_transfers(blocks, n_new), "__old int, __cls int, __lo long, __hi long, shard int, __slot long"
     )
-    rows = rows.withColumn("__bucket", F.pmod(F.xxhash64(id_col, "text_crc32", "size"), F.lit(buckets)).cast("int"))
-    block = ["old_shard", "__class", "__bucket"]
-    before = Window.partitionBy("old_shard", "__class").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    counts = rows.groupBy(*block).agg(F.count("*").alias("__n"))
-    offsets = counts.select(*block, F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
-    within = Window.partitionBy(*block).orderBy(F.col(id_col), F.col("text_crc32"), F.col("size"))
-    ranked = rows.withColumn("__rank", F.row_number().over(within).cast("long") - 1)
+    smaller = Window.partitionBy("old_shard", "__class").orderBy("size").rowsBetween(Window.unboundedPreceding, -1)
+    cells = cells.withColumn("__smaller", F.coalesce(F.sum("__rows").over(smaller), F.lit(0)))
+    cell = ["old_shard", "__class", "size"]
+    buckets = F.floor(F.col("__rows") / bucket_rows) + 1
+    dealt = rows.join(cells, cell).withColumn("__bucket", F.pmod(F.xxhash64(id_col, "text_crc32", "__salt"), buckets).cast("long"))
+    counts = dealt.groupBy(*cell, "__bucket").agg(F.count("*").alias("__n"))
+    before = Window.partitionBy(*cell).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(*cell, "__bucket", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    within = Window.partitionBy(*cell, "__bucket").orderBy(F.col(id_col), F.col("text_crc32"), F.col("__salt"))
+    ranked = dealt.withColumn("__rank", F.row_number().over(within).cast("long") - 1).join(offsets, [*cell, "__bucket"])
+    ranked = ranked.withColumn("__rank", F.col("__rank") + F.col("__before") + F.col("__smaller"))
     # bounded: one interval a block, and one more for each new shard at most
-    ranked = ranked.join(offsets, block).withColumn("__rank", F.col("__rank") + F.col("__before"))
     found = ranked.join(
         F.broadcast(intervals),
         (F.col("old_shard") == F.col("__old")) & (F.col("__class") == F.col("__cls")) & (F.col("__rank") >= F.col("__lo")) & (F.col("__rank") < F.col("__hi")),
     )
     out = found.withColumn("slot", F.col("__slot") + F.col("__rank") - F.col("__lo"))
-    return out.drop("__class", "__bucket", "__rank", "__before", "__old", "__cls", "__lo", "__hi", "__slot")
+    return out.drop("__salt", "__class", "__rows", "__smaller", "__bucket", "__rank", "__before", "__old", "__cls", "__lo", "__hi", "__slot")
 
 
 def rewrite_affected(resharded: DataFrame, path: str) -> None:

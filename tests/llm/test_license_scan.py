@@ -1,7 +1,6 @@
 from collections import Counter
 
 import duckdb
-import pytest
 
 from scorelake.llm import license_scan as ls
 
@@ -21,6 +20,13 @@ def test_against_every_block_and_notice(spark, odd, empty):
     assert {r[6] for r in got if r[0] in (1000, 1001)} == {"mit"}
 
 
-def test_too_many_notices(odd):
-    with pytest.raises(ValueError):
-        ls.license_scan(odd, notices=[])
+def test_notices_in_blocks_and_none(spark, odd, monkeypatch):
+    rows = [(i, f"{text} tail", 1.0, "x", 2) for i, (_, text) in enumerate(ls.NOTICES)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, score double, labels string, n_words int")
+    whole = ls.license_scan(docs).select("doc_id", "n_words", "labels", "score", "share").collect()
+    monkeypatch.setattr(ls, "BLOCK_NOTICES", 5)
+    parts = ls.license_scan(docs).select("doc_id", "n_words", "labels", "score", "share").collect()
+    assert Counter(map(tuple, parts)) == Counter(map(tuple, whole))
+    assert all(r["share"] == 1.0 for r in whole) and all("agpl" in r["labels"] for r in whole if r["doc_id"] == 0)
+    none = ls.license_scan(odd, notices=[]).collect()
+    assert all(r["share"] is None and r["labels"] == r["base_labels"] for r in none) and set(odd.columns) <= set(none[0].asDict())

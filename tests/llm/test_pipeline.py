@@ -57,3 +57,34 @@ def test_quality_of_odd_rows(spark, odd, empty):
     assert {r["predicted"] for r in quality.quality_scores(odd, none).collect()} == {1}
     held = {r["doc_id"]: r["h"] for r in odd.select("doc_id", quality.held_out("doc_id").alias("h")).collect()}
     assert all(h == (i is not None and zlib.crc32(str(i).encode()) % 4 == 2) for i, h in held.items())
+
+
+def test_solver_reaches_the_least_primal_cost():
+    """Against subgradient steps on half the squared weights plus the hinge losses."""
+    rng = np.random.default_rng(3)
+    dims, n = 12, 60
+    rows = [np.sort(rng.choice(dims, size=4, replace=False)) for _ in range(n)]
+    values = [rng.normal(size=4) for _ in range(n)]
+    y = np.where(rng.random(n) < 0.5, 1.0, -1.0)
+    cost = rng.uniform(0.2, 2.0, n)
+    x = np.zeros((n, dims + 1))
+    for i, (r, v) in enumerate(zip(rows, values)):
+        x[i, r], x[i, dims] = v, 1.0
+    primal = lambda w: 0.5 * w @ w + (cost * np.maximum(0, 1 - y * (x @ w))).sum()
+    w, bias = quality.descend(rows, values, y, cost, dims, rounds=4000)
+    solved = primal(np.append(w, bias))
+    z, best = np.zeros(dims + 1), np.inf
+    for k in range(20_000):
+        bad = y * (x @ z) < 1
+        z = z - (z - ((cost * y)[bad, None] * x[bad]).sum(axis=0)) / (k + 2)
+        best = min(best, primal(z))
+    assert solved <= best + 1e-2 * abs(best)
+    assert all(primal(np.append(w, bias) + rng.normal(scale=0.05, size=dims + 1)) >= solved - 1e-2 for _ in range(200))
+
+
+def test_stages_keep_columns_of_any_name(spark, sf):
+    docs = documents(spark, sf).withColumns({c: F.lit(f"own {c}") for c in ("score", "predicted", "n_lines", "n_dropped", "h1", "spans", "item")}).limit(60)
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        out = stage(spark, docs, sf)
+        assert out.columns == docs.columns, name
+        assert all(r["score"] == "own score" and r["n_dropped"] == "own n_dropped" and r["item"] == "own item" for r in out.collect())

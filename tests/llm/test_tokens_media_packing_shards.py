@@ -33,6 +33,15 @@ def test_token_counts_equal_the_library(spark, odd, empty, library):
     )
 
 
+def test_normaliser_is_read_from_the_model(tmp_path):
+    path = queries.vocabulary("piece_bpe_32k.model")
+    assert token_count.keeps_texts(path)
+    spec = lambda *parts: bytes([26, len(body := b"".join(parts))]) + body
+    for n, (parts, keeps) in enumerate([((b"\x20\x00",), True), ((b"\x20\x01",), False), ((b"\x12\x02ab", b"\x20\x00"), False), ((b"\x18\x00\x20\x00",), False), ((), False)]):
+        (file := tmp_path / f"m{n}").write_bytes(spec(*parts))
+        assert token_count.keeps_texts(str(file)) == keeps
+
+
 def test_splices_of_chunks_equal_whole_texts(library):
     counter = token_count.Counter(queries.vocabulary("piece_bpe_32k.model"), chunk_chars=20, overlap=3)
     assert counter.proven
@@ -55,6 +64,34 @@ def test_media_round_trip(spark, odd, empty):
     assert Counter((r["doc_id"], r["n_bytes"], *(r[c] for c in media.MEDIA_NAMES[1:])) for r in got) == want
 
 
+def test_media_by_an_independent_reader(spark):
+    """The stored form's fields read from its bytes, without the module's reader."""
+    import struct
+
+    for text in ("", "abc", "Straße " * 9000):
+        payload, n = media.payload_of(text)
+        medium = media.wav(payload)
+        riff, size, wave_, fmt, length, kind, channels, rate, _, _, bits, data, held = struct.unpack("<4sI4s4sIHHIIHH4sI", medium[:44])
+        assert (riff, wave_, fmt, data) == (b"RIFF", b"WAVE", b"fmt ", b"data") and size == len(medium) - 8
+        assert (length, kind, channels, rate, bits, held) == (16, 1, 1, media.RATE, 8, len(payload)) and medium[44:] == payload
+        assert payload == text.encode() + bytes(len(payload) - n) and len(payload) % 64 == 0 and len(payload) > 0 and len(payload) - n < 64 + 64 * (n == 0)
+
+
+def test_a_lost_or_moved_chunk_is_seen():
+    import pyarrow as pa
+    import zstandard
+
+    parts = [b"a" * 64, b"b" * 64]
+    names, blobs = [hashlib.sha256(p).digest() for p in parts], [zstandard.ZstdCompressor().compress(p) for p in parts]
+    recipe = hashlib.sha256(b"".join(names)).digest()
+    kinds = (pa.binary(), pa.list_(pa.binary()), pa.list_(pa.binary()))
+    batch = lambda n, b: pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(([recipe], [n], [b]), kinds)], ["recipe", "digests", "blobs"])
+    assert next(media.rebuilt(iter([batch(names, blobs)]))).num_rows == 1
+    for n, b in ((names[:1], blobs[:1]), (names[::-1], blobs[::-1]), (names, blobs[::-1])):
+        with pytest.raises(ValueError):
+            list(media.rebuilt(iter([batch(n, b)])))
+
+
 def test_cuts_follow_the_rolling_hash():
     table, rng = media.gear(), random.Random(3)
     data = rng.randbytes(60_000)
@@ -101,6 +138,44 @@ def test_packing_places_each_id_once(spark, odd, empty, sf):
         assert len(sequences) * 2048 - total <= 2048 * (total // 40_000 + 8)
 
 
+def test_pieces_tile_their_documents(spark):
+    rng = random.Random(8)
+    docs = spark.createDataFrame([(i, " ".join(rng.choices(["one", "two", "Straße", "x" * 9], k=rng.choice([1, 50, 700, 3000]))), i % 3) for i in range(60)], "doc_id long, text string, bucket int")
+    pieces, tokens = defaultdict(list), {}
+    for r in packing.pack(docs, queries.vocabulary("byte_bpe_50k.json"), queries.bpe_pattern(), bucket_bytes=50_000, salt_col="doc_id").collect():
+        pieces[r["doc_id"]].append((r["start"], r["length"]))
+        tokens[r["doc_id"]] = r["doc_tokens"]
+    for i, own in pieces.items():
+        at = 0
+        for start, length in sorted(own):
+            assert start == at
+            at += length
+        assert at == tokens[i]
+    assert set(pieces) == set(range(60))
+
+
+def test_cost_is_spread_better_than_by_first_fit():
+    """Against first fit of the same descending pieces. A piece longer than half a sequence sets its sequence's cost, so
+    the pieces here are shorter."""
+    rng = random.Random(6)
+    lengths = [min(900, int(rng.paretovariate(1.1) * 40)) for _ in range(4000)]
+    cost = lambda n: n + n * n / 2048
+    balanced = defaultdict(float)
+    for _, _, n, k, _ in packing.assign(lengths, 2048, 1.0, 1 / 2048):
+        balanced[k] += cost(n)
+    room, fitted = [], []
+    for n in sorted(lengths, reverse=True):
+        k = next((k for k, r in enumerate(room) if r >= n), len(room))
+        if k == len(room):
+            room.append(2048)
+            fitted.append(0.0)
+        room[k] -= n
+        fitted[k] += cost(n)
+    mean = lambda costs: sum(costs) / len(costs)
+    dev = lambda costs: (sum((c - mean(costs)) ** 2 for c in costs) / len(costs)) ** 0.5
+    assert dev(sorted(balanced.values())[1:]) < dev(sorted(fitted)[1:]) / 2
+
+
 def test_full_sequences_balance_cost():
     rng = random.Random(4)
     lengths = [rng.randint(1, 2047) for _ in range(500)]
@@ -138,6 +213,25 @@ def test_resharding(spark, odd, empty, sf, tmp_path):
             shards[r["shard"]].append(r["slot"])
         assert max(map(len, shards.values())) - min(map(len, shards.values())) <= 1 and set(shards) == set(range(5))
         assert all(sorted(s) == list(range(len(s))) for s in shards.values())
+    docs = documents(spark, sf).withColumns({"shard": F.lit("x"), "slot": F.lit(1), "size": F.lit("y"), "spans": F.lit(2)})
+    moved = sharding.reshard(docs, old, 5).cache()
     path = str(tmp_path / "shards")
-    sharding.rewrite_affected(sharding.reshard(documents(spark, sf), old, 5), path)
-    assert spark.read.parquet(path).count() > 0
+    sharding.rewrite_affected(moved, path)
+    rows = moved.select("doc_id", "text", "shard", "slot", "old_shard", "spans").collect()
+    touched = {s for r in rows if r["shard"] != r["old_shard"] for s in (r["shard"], r["old_shard"])}
+    back = spark.read.parquet(path).select("doc_id", "text", "shard", "slot", "old_shard", "spans").collect()
+    assert Counter(map(tuple, back)) == Counter(tuple(r) for r in rows if r["shard"] in touched)
+
+
+def test_the_fewest_bytes_move(spark):
+    """Against enumeration: each old shard must lose so many rows, and its smallest are the fewest bytes."""
+    rng = random.Random(9)
+    rows = [(i, "z" * rng.choice([0, 3, 5, 40, 41, 300, 301, 302, 2000]), rng.choice([0, 0, 0, 1, 2, 4])) for i in range(240)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, old int")
+    got = sharding.reshard(docs, F.col("old"), 4, bucket_rows=3).select("size", "old_shard", "shard").collect()
+    moved = sum(r["size"] for r in got if r["old_shard"] != r["shard"])
+    least = 0
+    for shard in {o for *_, o in rows}:
+        sizes = sorted(len(t) + 1 for _, t, o in rows if o == shard)
+        least += sum(sizes[: len(sizes) - 60] if shard < 4 and len(sizes) > 60 else sizes if shard >= 4 else [])
+    assert moved == least
