@@ -19,20 +19,28 @@ from scorelake.llm.quality import quality_scores, train
 from scorelake.llm.queries import bpe_pattern, vocabulary
 
 
+def plain_names(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """docs in which columns other than doc_id and text have names that no operator uses, and the names they had."""
+    had = {c if c in ("doc_id", "text") else f"__column_{i}": c for i, c in enumerate(docs.columns)}
+    return docs.select(*(F.col(old).alias(new) for new, old in had.items())), had
+
+
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects (score below 0.7) go."""
     model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality_scores(docs, model).where("predicted = 1").select(*docs.columns)
+    named, had = plain_names(docs)
+    return quality_scores(named, model).where("predicted = 1").select(*(F.col(new).alias(old) for new, old in had.items()))
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that an earlier document holds go; n_chars follows the text."""
-    out = line_dedup(docs)
-    return out.withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
+    named, had = plain_names(docs)
+    kept = line_dedup(named)
+    return kept.select(*(F.char_length("text").cast("long").alias(old) if old == "n_chars" else F.col(new).alias(old) for new, old in had.items()))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group the document with the smallest id stays; rows without an id stay."""
+    """Of each group the document with the smallest id stays, with all rows of that id; rows without an id stay."""
     found = near_duplicates(docs)
     gone = found.where("component_id != doc_id").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
