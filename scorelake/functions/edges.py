@@ -83,3 +83,8 @@ def ensure(df: DataFrame, column: str, n_bins: int, method: str | Sequence[float
     if not isinstance(method, str):
         return closed(method)
     return {"frequency": equal_frequency, "width": equal_width}[method](df, column, n_bins, specials)
+
+
+def edges_text(edges: Sequence[float], specials: Sequence[float] = ()) -> dict[int, str]:
+    """Bin numbers with their labels; 0 is missing."""
+    return labels(edges, specials)

@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.edges import equal_frequency
 from ..functions.ordered import cut_points, part_of, present, running_sums
 
 
@@ -109,3 +110,54 @@ def calibration(df: DataFrame, target: str, probability: str, n_bins: int = 10)
     b = F.least(F.floor(F.col(probability) * n_bins) + 1, F.lit(n_bins)).cast("int")
     known = df.where(F.col(target).isin(0, 1) & F.col(probability).isNotNull())
     return known.groupBy(b.alias("bin")).agg(F.count("*").alias("n"), F.avg(probability).alias("predicted"), F.avg(F.col(target).cast("double")).alias("observed"), F.avg(F.pow(F.col(probability) - F.col(target), F.lit(2.0))).alias("brier"))
+
+
+def perf_summary(frames: dict[str, DataFrame], target: str, score: str, n_bins: int = 10, weight: str | None = None) -> DataFrame:
+    """One row for each named table (train, validation, ...): rows, bad rate, AUC, KS, greatest lift of bins cut at the
+    first table's percentiles, and PSI against it, all from one union."""
+    from .gains import gains_table
+    from .psi import psi, psi_details
+
+    first = next(iter(frames))
+    columns = [target, score, *([weight] if weight else [])]
+    parts = [df.select(*columns).withColumn("dataset", F.lit(name)) for name, df in frames.items()]
+    union = parts[0]
+    for part in parts[1:]:
+        union = union.unionByName(part)
+    edges = equal_frequency(frames[first], score, n_bins)
+    lift = gains_table(union, target, score, groups=["dataset"], edges=edges).groupBy("dataset").agg(F.max("lift").alias("max_lift"))
+    out = auc_ks(union, target, score, ["dataset"], weight).drop("ks_threshold").join(lift, "dataset")
+    base = frames[first].select(score)
+    shift = None
+    for name, df in frames.items():  # few tables
+        pair = base.withColumn("__new", F.lit(False)).unionByName(df.select(score).withColumn("__new", F.lit(True)))
+        one = psi(psi_details(pair, F.col("__new"), score, n_bins)).select(F.lit(name).alias("dataset"), "psi")
+        shift = one if shift is None else shift.unionByName(one)
+    return out.join(shift, "dataset")
+
+
+def validated_weight(df: DataFrame, weight: str | None = None) -> Column:
+    """The weight column as doubles, 1 without one. Raises where a weight is null, NaN, infinite or negative."""
+    if weight is None:
+        return F.lit(1.0)
+    w = F.col(weight).cast("double")
+    bad = df.agg(F.count_if(w.isNull() | F.isnan(w) | (w < 0) | (F.abs(w) == float("inf")))).first()[0]
+    if bad:
+        raise ValueError(f"{bad} weights of {weight} are null, negative or not finite")
+    return w
+
+
+def brier_score(df: DataFrame, target: str, probability: str, weight: str | None = None) -> DataFrame:
+    """Mean squared distance of the probability from the label, over labelled rows."""
+    w = F.col(weight).cast("double") if weight else F.lit(1.0)
+    known = df.where(F.col(target).isin(0, 1) & F.col(probability).isNotNull())
+    return known.agg(F.try_divide(F.sum(w * F.pow(F.col(probability) - F.col(target), F.lit(2.0))), F.sum(w)).alias("brier"))
+
+
+def calibration_comparison(df: DataFrame, target: str, raw: str, calibrated: str, n_bins: int = 10) -> DataFrame:
+    """The reliability curves of a raw and a calibrated probability side by side, with each one's Brier score."""
+    parts = []
+    for name, p in (("raw", raw), ("calibrated", calibrated)):
+        total = brier_score(df, target, p).first()[0]
+        parts.append(calibration(df, target, p, n_bins).withColumns({"total": F.lit(total), "which": F.lit(name)}))
+    return parts[0].unionByName(parts[1])

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.ordered import cut_points, grouped_percentiles, part_of, present
+from ..functions.edges import bin_number, equal_frequency_many
+from ..functions.ordered import cut_points, grouped_percentiles, part_of, percentiles, present, running_sums
 
 
 def proc_means(df: DataFrame, cols: Sequence[str], groups: Sequence[str] = (), shares: Sequence[float] = (0.25, 0.5, 0.75)) -> DataFrame:
@@ -128,3 +130,62 @@ def rate_tables(df: DataFrame, time_dims: Sequence[str], population_dims: Sequen
         number = sum((d not in s) << (len(dims) - 1 - i) for i, d in enumerate(dims))
         level = F.when(F.col("__id") == number, "x".join(s) or "global").otherwise(level)
     return out.withColumn("level", level).drop("__id")
+
+
+def chi2_selection(df: DataFrame, features: Sequence[str], target: str, level: float = 0.05) -> DataFrame:
+    """feature, chi2, p_value, selected: features scaled to [0, 1] (null and NaN: 0), their sums by class against the sums
+    that class sizes expect. Two aggregates whatever the number of features; one degree of freedom, as for two classes."""
+    v = {c: F.coalesce(present(F.col(c)), F.lit(0.0)) for c in features}
+    known = df.where(F.col(target).isin(0, 1))
+    ends = known.agg(*(f for i, c in enumerate(features) for f in (F.min(v[c]).alias(f"a{i}"), F.max(v[c]).alias(f"z{i}")))).first()
+    scaled = {c: (v[c] - (ends[f"a{i}"] or 0.0)) / ((ends[f"z{i}"] or 0.0) - (ends[f"a{i}"] or 0.0) or 1.0) for i, c in enumerate(features)}
+    row = known.agg(F.avg(F.col(target).cast("double")).alias("share"), *(f for i, c in enumerate(features) for f in (F.sum(scaled[c]).alias(f"s{i}"), F.sum(scaled[c] * F.col(target)).alias(f"b{i}")))).first()
+    rows = []
+    for i, c in enumerate(features):
+        total, bad, chi = row[f"s{i}"] or 0.0, row[f"b{i}"] or 0.0, 0.0
+        for seen, expected in ((bad, total * (row["share"] or 0.0)), (total - bad, total * (1 - (row["share"] or 0.0)))):
+            chi += (seen - expected) ** 2 / expected if expected else 0.0
+        rows.append((c, chi, math.erfc(math.sqrt(chi / 2))))
+    return df.sparkSession.createDataFrame([(c, x, p, p < level) for c, x, p in sorted(rows, key=lambda r: (-r[1], r[0]))], "feature string, chi2 double, p_value double, selected boolean")
+
+
+def standardizer(df: DataFrame, features: Sequence[str], robust: bool = False) -> dict[str, tuple[float, float]]:
+    """Centre and scale of each feature: mean and deviation, or median and quartile range; a constant's scale is 1."""
+    if robust:
+        found = percentiles(df, {c: F.col(c) for c in features}, [0.25, 0.5, 0.75])
+        return {c: (q[1], q[2] - q[0] or 1.0) if q else (0.0, 1.0) for c, q in found.items()}
+    row = df.agg(*(f for i, c in enumerate(features) for f in (F.avg(present(F.col(c))).alias(f"m{i}"), F.stddev_pop(present(F.col(c))).alias(f"s{i}")))).first()
+    return {c: (row[f"m{i}"] or 0.0, row[f"s{i}"] or 1.0) for i, c in enumerate(features)}
+
+
+def standardized(df: DataFrame, scales: dict[str, tuple[float, float]], suffix: str = "_std") -> DataFrame:
+    return df.withColumns({c + suffix: (F.col(c) - m) / s for c, (m, s) in scales.items()})
+
+
+def rank_association(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """var_a, var_b, corr: Spearman correlation over rows with all columns. Mean ranks come from counts of distinct values,
+    so ties share a rank and no task orders all rows."""
+    known = df.select(*(present(F.col(c)).alias(c) for c in cols)).na.drop()
+    cuts = cut_points(known, {c: F.col(c) for c in cols})
+    ranked = known
+    for c in cols:
+        cells = known.groupBy(F.col(c).alias("v")).agg(F.count("*").alias("n")).withColumn("__part", part_of(F.col("v"), cuts[c]))
+        ran = running_sums(cells, "__part", [F.col("v")], ["n"]).select(F.col("v").alias(c), (F.col("cum_n") - (F.col("n") - 1) / 2).alias(f"__r_{c}"))
+        ranked = ranked.join(ran, c)
+    return correlation(ranked.select(*(F.col(f"__r_{c}").alias(c) for c in cols)), cols)
+
+
+def variable_report(df: DataFrame, target: str, columns: Sequence[str], n_bins: int = 10, iv_cut: float = 0.0) -> DataFrame:
+    """One row a variable: rows, missing rate, min, mean, max, bins, KS, greatest lift, IV, bumps; IV above the cut. All
+    variables are binned and counted together."""
+    from .gains import gains_columns, gains_summary
+
+    edges = equal_frequency_many(df.where(F.col(target).isin(0, 1)), columns, n_bins)
+    cells = F.array(*(F.struct(F.lit(c).alias("variable"), bin_number(F.col(c), edges[c], (), True).alias("bin"), present(F.col(c)).alias("v")) for c in columns))
+    long = df.select(F.col(target).alias("y"), F.explode(cells).alias("c")).select("y", "c.*")
+    counts = long.groupBy("variable", "bin").agg(
+        F.count("*").alias("n"), F.count("y").alias("perf"), F.count_if(F.col("y") == 1).alias("bad"), F.count_if(F.col("y") == 0).alias("good"), F.min("v").alias("min"), F.max("v").alias("max"), F.sum("v").alias("sum"), F.count("v").alias("known"),
+    )
+    shown = gains_summary(gains_columns(counts, ["variable"]), ["variable"])
+    ends = counts.groupBy("variable").agg(F.min("min").alias("min"), F.max("max").alias("max"), F.try_divide(F.sum("sum"), F.nullif(F.sum("known"), F.lit(0)).cast("double")).alias("mean"), (1 - F.sum("known") / F.sum("n")).alias("missing_rate"))
+    return shown.join(ends, "variable").where(F.col("iv") >= iv_cut)

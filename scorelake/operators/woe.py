@@ -29,6 +29,33 @@ def woe_table(df: DataFrame, target: str, score: str, edges: Sequence[float], sp
     return out.withColumn("iv", (F.col("bad_pct") - F.col("good_pct")) * F.col("woe"))
 
 
+def screening_woe(df: DataFrame, target: str, column: str, edges: Sequence[float], keep_missing: bool = True) -> DataFrame:
+    """Per bin: counts, smoothed WOE and IV with totals of at least 1, as screening wants them: defined for any bin."""
+    counts = bin_counts(df.where(F.col(target).isin(0, 1)), target, column, edges, keep_missing=keep_missing).select("bin", "n", "bad", "good")
+    whole = Window.partitionBy(F.lit(0))
+    part = lambda c: F.col(c) / F.greatest(F.sum(c).over(whole), F.lit(1))
+    out = counts.withColumns({"bad_pct": part("bad"), "good_pct": part("good")})
+    woe = F.ln((F.col("bad_pct") + EPS) / (F.col("good_pct") + EPS))
+    return out.withColumns({"woe": woe, "iv": (F.col("bad_pct") - F.col("good_pct")) * woe})
+
+
+def mapped_summary(df: DataFrame, target: str, model: "WoeModel", groups: Sequence[str] = ()) -> DataFrame:
+    """feature, bin of a fitted mapping (0: missing), counts, shares, rate and WOE on these rows, by group if asked: all
+    features in one aggregate. Bins without rows in a group are there with counts of 0, so groups are aligned."""
+    known = df.where(F.col(target).isin(0, 1))
+    cells = F.array(*(F.struct(F.lit(f.name).alias("feature"), F.coalesce(f.number(), F.lit(0)).alias("bin")) for f in model.features))
+    long = known.select(*groups, F.col(target).alias("y"), F.explode(cells).alias("c")).select(*groups, "y", "c.*")
+    counts = long.groupBy(*groups, "feature", "bin").agg(F.count("*").alias("n"), F.sum("y").alias("bad"))
+    bins = F.array(*(F.struct(F.lit(f).alias("feature"), F.lit(b).alias("bin"), F.lit(text).alias("range")) for f, b, text, _ in model.mapping()))
+    each = known.select(*groups).distinct() if groups else df.sparkSession.range(1).select()
+    frame = each.select(*groups, F.explode(bins).alias("b")).select(*groups, "b.*")
+    out = frame.join(counts, [*groups, "feature", "bin"], "left").na.fill(0, ["n", "bad"]).withColumn("good", F.col("n") - F.col("bad"))
+    whole = Window.partitionBy(*groups, "feature")
+    share = lambda c: F.try_divide(F.col(c).cast("double"), F.nullif(F.sum(c).over(whole), F.lit(0)).cast("double"))
+    out = out.withColumns({"bad_rate": F.try_divide(F.col("bad").cast("double"), F.nullif(F.col("n"), F.lit(0)).cast("double")), "bad_pct": share("bad"), "good_pct": share("good")})
+    return out.withColumn("woe", safe_ln_ratio(F.col("bad_pct"), F.col("good_pct")))
+
+
 def smoothed(bad: float, good: float, bads: float, goods: float, eps: float = EPS) -> tuple[float, float]:
     """(WOE, IV) of the monotone engine."""
     pb, pg = bad / (bads + eps), good / (goods + eps)
@@ -136,6 +163,11 @@ class WoeModel:
     def from_json(text: str) -> "WoeModel":
         return WoeModel([FeatureBins(**f) for f in json.loads(text)])
 
+    def updated(self, other: "WoeModel") -> "WoeModel":
+        """This model with the features of the other in place of its own of the same name; new ones come last."""
+        new = {f.name: f for f in other.features}
+        return WoeModel([new.pop(f.name, f) for f in self.features] + list(new.values()))
+
     def iv_summary(self) -> list[tuple[str, float, int]]:
         return sorted(((f.name, f.iv, len(f.woe)) for f in self.features), key=lambda r: (-r[1], r[0]))
 

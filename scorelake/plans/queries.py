@@ -789,3 +789,6 @@ def distribution_table(t):
     df = lines(t)
     table = gains.gains_table(df, "y", "l_extendedprice", groups=["l_returnflag"], edges=equal_width(df, "l_extendedprice", 4))
     return table.select("l_returnflag", "bin", "n", "prop")
+
+
+from . import queries_more  # noqa: E402, F401 (registers further queries, which use the helpers above)

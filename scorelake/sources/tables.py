@@ -65,6 +65,47 @@ def union_all(frames: Sequence[DataFrame], tag: str | None = None, names: Sequen
     return out
 
 
+def join_all(frames: Sequence[DataFrame], on: Sequence[str], how: str = "left") -> DataFrame:
+    """The frames joined one after the other on the keys; a column that is there already gets the frame's number."""
+    out = frames[0]
+    for i, df in enumerate(frames[1:], 1):
+        clash = [c for c in df.columns if c not in on and c in out.columns]
+        out = out.join(df.withColumnsRenamed({c: f"{c}_{i}" for c in clash}), list(on), how)
+    return out
+
+
+def run_script(spark: SparkSession, text: str, **values) -> DataFrame | None:
+    """Each statement of a SQL script, after its comments are removed and {names} filled; the last one's result."""
+    from ..functions.sqltext import remove_comments, split_statements
+
+    out = None
+    for statement in split_statements(remove_comments(text)):
+        out = spark.sql(statement.format(**values) if values else statement)
+    return out
+
+
+def parsed_schema(lines: Sequence[str]) -> dict[str, str]:
+    """Names and types of descriptions such as '<column id, type bigint>'."""
+    out = {}
+    for line in lines:
+        parts = [p.strip(" <>") for p in line.split(",")]
+        out[parts[0].removeprefix("column").strip()] = parts[1].removeprefix("type").strip(" =")
+    return out
+
+
+def pull_parts(spark: SparkSession, name: str, keys: Sequence[str], n: int, folder: str) -> list[str]:
+    """A table as n Parquet folders by a hash of its keys, written in one pass."""
+    shard = key_shard(keys, n)
+    spark.table(name).withColumn("part", shard).write.mode("overwrite").partitionBy("part").parquet(folder)
+    return [f"{folder}/part={k}" for k in range(n)]
+
+
+def push_parts(spark: SparkSession, paths: Sequence[str], name: str, overwrite: bool = True) -> int:
+    """Parquet folders into one table; the rows it then has."""
+    save_table(spark.read.parquet(*paths), name, "overwrite" if overwrite else "append")
+    return spark.table(name).count()
+
+
 def read_names(path: str, lower: bool = False) -> list[str]:
     with open(path, encoding="utf-8") as f:
         return [(s.lower() if lower else s.upper()) for line in f if (s := line.strip())]
@@ -77,14 +118,16 @@ def write_names(names: Sequence[str], path: str, sep: str = "\n", quote: str = "
 
 
 def write_report(folder: str, sheets: Mapping[str, DataFrame | None], most_rows: int = 100_000) -> dict[str, str]:
-    """Small report tables as CSV files named by unique sheet names; larger tables are refused, not cut."""
+    """Report tables by unique sheet names: up to most_rows rows as one CSV file, larger ones as a Parquet folder."""
     os.makedirs(folder, exist_ok=True)
     out: dict[str, str] = {}
     for name, df in sheets.items():
         if df is None:
             continue
         if df.limit(most_rows + 1).count() > most_rows:
-            raise ValueError(f"{name} has more than {most_rows} rows; write it as a table")
+            out[name] = os.path.join(folder, f"{sheet_name(name, set(out))}.parquet")
+            df.write.mode("overwrite").parquet(out[name])
+            continue
         out[name] = os.path.join(folder, f"{sheet_name(name, set(out))}.csv")
         df.toPandas().to_csv(out[name], index=False)
     return out

@@ -127,8 +127,10 @@ def test_sources(spark, apps, tmp_path):
     assert tables.union_all([small, small.drop("month")], "side", ["a", "b"]).where("side = 'b' AND month IS NULL").count() == 20
     files = tables.write_report(str(tmp_path / "report"), {"a/b": small, "none": None})
     assert list(files) == ["a/b"] and len(pd.read_csv(files["a/b"])) == 20
-    with pytest.raises(ValueError):
-        tables.write_report(str(tmp_path / "report"), {"x": small}, most_rows=5)
+    large = tables.write_report(str(tmp_path / "report"), {"x": small}, most_rows=5)
+    assert large["x"].endswith(".parquet") and spark.read.parquet(large["x"]).count() == 20
+    parts = tables.pull_parts(spark, "kept_rows", ["flow_id"], 3, str(tmp_path / "parts"))
+    assert tables.push_parts(spark, [p for p in parts if (tmp_path / "parts" / p.rsplit("/", 1)[1]).exists()], "kept_again") == 40
     tables.save_model(str(tmp_path / "model"), "[1]", auc=0.7)
     assert tables.load_model(str(tmp_path / "model")) == ("[1]", {"auc": 0.7})
 
