@@ -126,6 +126,25 @@ def unpacked(data: bytes, size: int) -> np.ndarray:
     return out
 
 
+def in_steps(table: np.ndarray, step: int = 1 << 16) -> Iterator[np.ndarray]:
+    """Slices of the table: what is computed from one is small, however large the table is."""
+    return (table[at : at + step] for at in range(0, len(table), step))
+
+
+def expected_partners(table: np.ndarray) -> float:
+    """Entries that a list holds, expected over the entries."""
+    squares = sum(float((t.astype(np.float64) ** 2).sum()) for t in in_steps(table))
+    return squares / max(float(table.sum(dtype=np.float64)), 1.0)
+
+
+def octaves(table: np.ndarray) -> np.ndarray:
+    """Frequencies in eighths of an octave: a byte a counter orders all that fit 32 bits."""
+    out = np.empty(len(table), dtype=np.uint8)
+    for t, o in zip(in_steps(table), in_steps(out)):
+        o[:] = np.floor(8 * np.log2(1.0 + t))
+    return out
+
+
 def profile(size: int):
     """Class and size of each row, and at a task's end its part of the frequency table, in slices."""
 
@@ -273,9 +292,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = cut_lineage(rows.where("n > 0 AND id IS NOT NULL").groupBy("hi", "lo").agg(F.min("id").alias("rep"), F.first("n").alias("n")))
     if boundary is None:
         small = {r["n"]: r["count"] for r in classes.where(F.col("n") <= LIGHT).groupBy("n").count().collect()}
-        boundary = choose_boundary(small, float((table.astype(np.float64) ** 2).sum() / max(table.sum(dtype=np.float64), 1)))
-    # an eighth of an octave a step: a byte a counter orders all frequencies, and the table is of bounded size
-    frequency = spark.sparkContext.broadcast(np.floor(8 * np.log2(1.0 + table.astype(np.float64))).astype(np.uint8))
+        boundary = choose_boundary(small, expected_partners(table))
+    frequency = spark.sparkContext.broadcast(octaves(table))  # of bounded size
+    del table
     listed = named.select("text").mapInArrow(entries(frequency, counted, boundary), "key long, hi long, n int, pos int")
     # a list's entry without a neighbour of fitting size, or a list of two that cannot link, ends here
     by_key, by_size = Window.partitionBy("key"), Window.partitionBy("key").orderBy("n")

@@ -103,11 +103,14 @@ def ratios(rows: list[np.ndarray], y: np.ndarray, smooth: float = 1.0) -> np.nda
 
 def fit_linear(rows: list[np.ndarray], y: np.ndarray, c: float) -> Model:
     ratio = ratios(rows, y)
-    values = []
+    # one block of memory for all rows, so that it is given back whole
+    flat, values, at = np.empty(sum(map(len, rows)), dtype=np.float32), [], 0
     for r in rows:
         v = ratio[r]
         n = float(v @ v) ** 0.5
-        values.append(v / n if n else v)
+        values.append(flat[at : at + len(r)])
+        values[-1][:] = v / n if n else v
+        at += len(r)
     w, bias = descend(rows, values, y, np.full(len(y), c), 1 << BITS)
     return Model((ratio * w).astype(np.float32), (ratio * ratio).astype(np.float32), bias, 1.0, 0.0)
 
@@ -168,9 +171,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     kind = docs.schema[id_col].dataType.simpleString()
     # repeated ids would lengthen the sample: one row of each id
-    got = texts.mapInArrow(features, f"`{id_col}` {kind}, label int, idx binary").groupBy(id_col).agg(F.first("label").alias("label"), F.min("idx").alias("idx")).collect()
-    got.sort(key=lambda r: r[id_col])
-    return fit([np.frombuffer(r["idx"], dtype=np.int32) for r in got], [r["label"] for r in got])
+    found = texts.mapInArrow(features, f"`{id_col}` {kind}, label int, idx binary").groupBy(id_col).agg(F.first("label").alias("label"), F.min("idx").alias("idx"))
+    got = found.toArrow().sort_by(id_col)  # bounded by max_rows
+    rows = [np.frombuffer(v.as_buffer(), dtype=np.int32) for chunk in got.column("idx").chunks for v in chunk]
+    return fit(rows, got.column("label").to_pylist())
 
 
 def quality_scores(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.7, keep: list[str] | None = None) -> DataFrame:
