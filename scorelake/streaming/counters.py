@@ -1,6 +1,6 @@
 """Streaming counters for monitoring: binned counts by time window, with edges fixed on a reference table.
 
-The reference has no streams; these let gains and PSI be watched on one. State is windows times groups times bins.
+These let gains and PSI be watched on one. State is windows times groups times bins.
 """
 
 from __future__ import annotations
