@@ -97,7 +97,11 @@ def descend(rows: list[np.ndarray], values: list[np.ndarray], y: np.ndarray, cos
 
 
 def ratios(rows: list[np.ndarray], y: np.ndarray, smooth: float = 1.0) -> np.ndarray:
-    p, q = (np.bincount(np.concatenate([r for r, v in zip(rows, y) if v == sign]), minlength=1 << BITS) + smooth for sign in (1, -1))
+    counts = {1: np.full(1 << BITS, smooth), -1: np.full(1 << BITS, smooth)}
+    # row by row (a row's indicators are distinct): a second copy of all rows would not fit beside the first
+    for r, v in zip(rows, y):
+        counts[int(v)][r] += 1
+    p, q = counts[1], counts[-1]
     return np.log((p / p.sum()) / (q / q.sum()))
 
 
