@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -45,3 +45,14 @@ def records_to_rows(df: DataFrame, column: str, schema: str, key: str, keep: Seq
     parsed = df.select(*keep, F.from_json(column, schema).alias("j"))
     meta = [f.name for f in parsed.schema["j"].dataType.fields if f.name != key]
     return parsed.select(*keep, *(F.col(f"j.{m}") for m in meta), F.inline(F.col(f"j.{key}")))
+
+
+def write_payloads(df: DataFrame, path: str, column: str = "json") -> None:
+    """One payload a line, in as many files as df has partitions; null payloads are not written."""
+    df.where(F.col(column).isNotNull()).select(F.col(column).cast("string").alias("value")).write.mode("overwrite").text(path)
+
+
+def read_payloads(spark: SparkSession, path: str, whole_files: bool = False) -> DataFrame:
+    """Column json: one payload a line, or one a file (for files that are laid out over lines). Blank ones are passed over."""
+    found = spark.read.text(path, wholetext=whole_files)
+    return found.where(F.col("value").rlike(r"\S")).select(F.col("value").alias("json"))
