@@ -1,15 +1,14 @@
 """PII: high-recall candidate generators, boosted trees over format and context, calibrated thresholds.
 
-DataFrame functions only on the main path; no shuffle but that of the spans that the trees are fitted on. Base kinds are
-found by their formats and checks and always stay. Generators of further kinds propose spans, also overlapping ones; trees
-score each from its form and the characters before it, and a kind's threshold (the least score with a precision of 0.99 on
+DataFrame functions only; no shuffle but that of the spans that the trees are fitted on. Base kinds are found by their
+formats and checks and always stay. Generators of further kinds propose spans, also overlapping ones; trees score each from its form and the characters before it, and a kind's threshold (the least score with a precision of 0.99 on
 held-out spans, at least even odds) selects it. Selected spans that overlap no base span are added.
 
 What the trees are fitted on: candidate spans of the documents themselves, labelled by a check (`LABELS`: checksums, the
 country code that makes a local number part of a valid phone, mixed characters of a token), and, as documents need not hold
-every kind, EXAMPLES rows written by a rule with a fixed seed. Labelled spans are a bounded sample, `most_spans` a kind, the
-least by the hash of the span. A third of them is held out: thresholds come from held-out spans of documents where a kind
-has MIN_HELD of them, else from the rule's.
+every kind, EXAMPLES rows written by a rule with a fixed seed. All distinct labelled spans count, in any number: they stay in
+Spark, counted by their features, and each kind has trees of its own (`boosting`). A third of them, by the hash of the span,
+is held out: thresholds come from all held-out spans of documents where a kind has MIN_HELD of them, else from the rule's.
 
 Spans are [start, end) in code points. Places of matches are sums of the lengths before them, taken in steps of 64 and of
 64 * 64, so a text costs about its number of matches. Patterns run in linear time: repetitions are possessive, and a
@@ -23,13 +22,14 @@ from __future__ import annotations
 
 import random
 from dataclasses import dataclass
-from functools import lru_cache
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import boosting
-from .common import merged
+from .common import cut_lineage, merged
 
 #: Base kinds in their order, with patterns equal in matches to the plain forms of the contract, and what a
 #: text must hold for a match to be possible.
@@ -48,10 +48,10 @@ MORE = {
 }
 KINDS = [*BASE, *MORE]
 OCTETS = r"^(?:0*(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[0-9]{1,2})(?:\.|$)){4}$"
-#: Characters of context before a span; examples for fitting; the precision that thresholds are set for.
-BEFORE, EXAMPLES, PRECISION = 24, 3000, 0.99
-#: Labelled spans of the documents a kind at most, and how many held-out ones set a kind's threshold.
-MOST_SPANS, MIN_HELD, STEP = 1500, 40, 64
+#: Characters of context before a span; examples for fitting; the precision that thresholds are set for; trees a kind and their levels.
+BEFORE, EXAMPLES, PRECISION, ROUNDS, DEPTH = 24, 3000, 0.99, 8, 3
+#: How many held-out spans of documents set a kind's threshold; matches whose lengths are summed in one step.
+MIN_HELD, STEP = 40, 64
 SPAN = "array<struct<start:int,rank:int,end:int,kind:string>>"
 
 
@@ -157,8 +157,8 @@ def _labelled(kind: str):
     return of
 
 
-def labelled_spans(docs: DataFrame, text_col: str = "text", most_spans: int = MOST_SPANS) -> DataFrame:
-    """kind, m, before, y, x (features): distinct candidates that a check labels, the least hashes of each kind."""
+def labelled_spans(docs: DataFrame, text_col: str = "text", most_spans: int | None = None) -> DataFrame:
+    """kind, m, before, y: all distinct candidates that a check labels; with most_spans the least hashes of each kind."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     each = []
     for kind, (pattern, possible) in MORE.items():
@@ -166,16 +166,13 @@ def labelled_spans(docs: DataFrame, text_col: str = "text", most_spans: int = MO
         nothing = F.array().cast("array<struct<kind:string,m:string,before:string,y:int>>")
         each.append(F.when(text.rlike(possible), F.coalesce(made, nothing)).otherwise(nothing))
     found = docs.select(F.explode(F.concat(*each)).alias("s")).select("s.*").where("y IS NOT NULL").distinct()
-    # a limit within each task comes before the shuffle, so each kind moves at most most_spans rows a task
-    least = Window.partitionBy("kind").orderBy(F.xxhash64("m", "before"), "m", "before", "y")
-    kept = found.withColumn("__n", F.row_number().over(least)).where(F.col("__n") <= most_spans).drop("__n")
-    x = F.lit(None).cast("array<double>")
-    for kind in MORE:
-        x = F.when(F.col("kind") == kind, F.array(*features(F.col("m"), F.col("before"), kind))).otherwise(x)
-    return kept.withColumn("x", x)
+    if most_spans is not None:
+        least = Window.partitionBy("kind").orderBy(F.xxhash64("m", "before"), "m", "before", "y")
+        found = found.withColumn("__n", F.row_number().over(least)).where(F.col("__n") <= most_spans).drop("__n")
+    return found
 
 
-def features(m: Column, before: Column, kind: str) -> list[Column]:
+def features(m: Column, before: Column) -> list[Column]:
     count = lambda cls: F.char_length(F.regexp_replace(m, f"[^{cls}]", "")).cast("double")
     flag = lambda c: F.when(c, 1.0).otherwise(0.0)
     return [
@@ -191,7 +188,6 @@ def features(m: Column, before: Column, kind: str) -> list[Column]:
         flag(before.rlike("tel|phone|call|fax|mobile|contact")),
         flag(before.rlike("iban|account|konto|card|passport|ssn|licen|social|tax")),
         flag(before.rlike(r"[=:#]\s*[\"']?$")),
-        *(flag(F.lit(kind == k)) for k in MORE),
     ]
 
 
@@ -226,50 +222,52 @@ def examples(n: int = EXAMPLES, seed: int = 20) -> list[tuple[str, str, str, int
     return out
 
 
-@lru_cache(maxsize=1)
-def _written(_: int) -> list[tuple[str, int, list[float]]]:
-    """(kind, y, features) of the rule's examples."""
-    spark = SparkSession.getActiveSession()
-    rows, out = examples(), []
-    for kind in MORE:  # bounded by EXAMPLES
-        part = spark.createDataFrame([(i, m, b, y) for i, (k, m, b, y) in enumerate(rows) if k == kind], "i int, m string, b string, y int")
-        out += part.select("i", "y", F.array(*features(F.col("m"), F.lower(F.right("b", F.lit(BEFORE))), kind)).alias("x")).collect()
-    out.sort(key=lambda r: r["i"])
-    return [(rows[r["i"]][0], r["y"], r["x"]) for r in out]
+def written(docs: DataFrame) -> DataFrame:
+    """The rule's examples as labelled_spans has the documents' own, and which are held out."""
+    kinds, spans, before, y = zip(*examples())
+    held = [i // 8 % 3 == 0 for i in range(len(y))]
+    rows = pa.table({"kind": kinds, "m": spans, "before": before, "y": pa.array(y, pa.int32()), "held": held})
+    return docs.sparkSession.createDataFrame(rows).withColumn("before", F.lower(F.right("before", F.lit(BEFORE))))
+
+
+def span_counts(docs: DataFrame, text_col: str = "text", most_spans: int | None = None) -> DataFrame:
+    """g (place of the kind in MORE), documents (or the rule's), held, x (steps of features), n spans, hits of them private."""
+    own = labelled_spans(docs, text_col, most_spans).withColumn("held", F.pmod(F.xxhash64("kind", "m", "before"), F.lit(3)) == 0)
+    both = own.withColumn("documents", F.lit(True)).unionByName(written(docs).withColumn("documents", F.lit(False)))
+    group = F.array_position(F.array(*map(F.lit, MORE)), F.col("kind")).cast("int") - 1
+    steps = F.transform(F.array(*features(F.col("m"), F.col("before"))), boosting.step)
+    counted = both.select(group.alias("g"), "documents", "held", steps.alias("x"), "y").groupBy("g", "documents", "held", "x")
+    return counted.agg(F.count("*").alias("n"), F.sum("y").alias("hits"))
 
 
 @dataclass(frozen=True)
 class Model:
-    """report: kind -> source of its threshold, held-out spans, share of them that is private, precision, recall."""
+    """trees: with their kinds. report: kind -> source of its threshold, held-out spans, share of them that is private, precision,
+    recall."""
 
-    trees: tuple[boosting.Node, ...]
+    trees: tuple[tuple[str, boosting.Node], ...]
     cuts: dict[str, float]
     report: dict[str, tuple[str, int, float, float, float]]
 
 
-def fit(docs: DataFrame, text_col: str = "text", most_spans: int = MOST_SPANS) -> Model:
-    import numpy as np
-
-    written = _written(EXAMPLES)
-    own = sorted(((r["kind"], r["m"], r["before"], r["y"], r["x"]) for r in labelled_spans(docs, text_col, most_spans).collect()), key=lambda r: r[:4])
-    kinds = np.array([k for k, *_ in written] + [r[0] for r in own])
-    real = np.array([False] * len(written) + [True] * len(own))
-    y = np.array([float(r[1]) for r in written] + [float(r[3]) for r in own])
-    x = np.array([r[2] for r in written] + [r[4] for r in own])
-    held = np.concatenate([np.arange(len(written)) // 8 % 3 == 0, np.arange(len(own)) % 3 == 0])
-    trees = boosting.boost(x[~held], y[~held])
-    margin = boosting.margins(trees, x)
+def fit(docs: DataFrame, text_col: str = "text", most_spans: int | None = None) -> Model:
+    # read again for each level of trees: no more tasks than cores
+    cells = cut_lineage(span_counts(docs, text_col, most_spans).coalesce(docs.sparkSession.sparkContext.defaultParallelism))
+    trees = boosting.boost(cells.where("NOT held"), len(MORE), ROUNDS, DEPTH)
+    held = cells.where("held").select("g", "documents", "n", "hits", boosting.margins(trees, DEPTH).alias("margin"))
+    # bounded: margins are multiples of 1 / GRID within the trees' range
+    counted = held.groupBy("g", "documents", "margin").agg(F.sum("n").alias("n"), F.sum("hits").alias("hits")).collect()
     cuts, report = {}, {}
-    for kind in MORE:
-        mine = held & (kinds == kind)
-        documents = mine & real
-        enough = documents.sum() >= MIN_HELD and 0 < y[documents].sum() < documents.sum()
-        at = documents if enough else mine & ~real
-        cuts[kind] = boosting.threshold(margin[at], y[at], PRECISION)
-        chosen = margin[at] >= cuts[kind]
-        hits = float(y[at][chosen].sum())
-        report[kind] = ("documents" if enough else "rule", int(at.sum()), float(y[at].mean()), hits / max(int(chosen.sum()), 1), hits / max(float(y[at].sum()), 1.0))
-    return Model(tuple(trees), cuts, report)
+    for g, kind in enumerate(MORE):
+        for documents in (True, False):
+            margin, n, hits = (np.array([r[c] for r in counted if r["g"] == g and r["documents"] == documents], dtype=float) for c in ("margin", "n", "hits"))
+            if not documents or n.sum() >= MIN_HELD and 0 < hits.sum() < n.sum():
+                break
+        cuts[kind] = boosting.threshold(margin, n, hits, PRECISION)
+        chosen = margin >= cuts[kind]
+        found, private = float(hits[chosen].sum()), float(hits.sum())
+        report[kind] = ("documents" if documents else "rule", int(n.sum()), private / float(n.sum()), found / max(float(n[chosen].sum()), 1.0), found / max(private, 1.0))
+    return Model(tuple((kind, boosting.linked(t)) for kind, own in zip(MORE, trees) for t in own), cuts, report)
 
 
 def find_pii(docs: DataFrame, text_col: str = "text", model: Model | None = None) -> DataFrame:
@@ -277,13 +275,13 @@ def find_pii(docs: DataFrame, text_col: str = "text", model: Model | None = None
 
     Without a model, one is fitted on these documents."""
     model = model or fit(docs, text_col)
-    trees, cuts = list(model.trees), model.cuts
     text = F.coalesce(F.col(text_col), F.lit(""))
     named = docs.withColumn("__text", text)
     base = F.concat(*(spans_of(F.col("__text"), k, pattern, possible, _checked(k)) for k, (pattern, possible) in BASE.items()))
 
     def chosen(kind: str):
-        return lambda m, before: boosting.expression(trees, features(m, before, kind)) >= cuts[kind]
+        trees = [tree for k, tree in model.trees if k == kind]
+        return lambda m, before: boosting.expression(trees, features(m, before)) >= model.cuts[kind]
 
     more = F.concat(*(spans_of(F.col("__text"), k, pattern, possible, chosen(k)) for k, (pattern, possible) in MORE.items()))
     named = named.withColumns({"__base": F.array_sort(base), "__more": more})
