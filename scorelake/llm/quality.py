@@ -13,11 +13,13 @@ count; with labels of one class or none, every score is that class's (1.0 with n
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -76,7 +78,21 @@ class Model:
         return float(1.0 / (1.0 + np.exp(-np.clip(logit, -30, 30))))
 
 
-def descend(rows: list[np.ndarray], values: list[np.ndarray], y: np.ndarray, cost: np.ndarray, dims: int, rounds: int = 15) -> tuple[np.ndarray, float]:
+class Scaled(Sequence):
+    """Each row's log-count ratios at norm 1, made when they are asked for: all at once would take as much as all indicators."""
+
+    def __init__(self, rows: list[np.ndarray], ratio: np.ndarray):
+        self.rows, self.ratio = rows, ratio
+        self.norms = [float(v @ v) ** 0.5 or 1.0 for v in (ratio[r] for r in rows)]
+
+    def __len__(self) -> int:
+        return len(self.rows)
+
+    def __getitem__(self, i: int) -> np.ndarray:
+        return (self.ratio[self.rows[i]] / self.norms[i]).astype(np.float32)
+
+
+def descend(rows: list[np.ndarray], values: Sequence[np.ndarray], y: np.ndarray, cost: np.ndarray, dims: int, rounds: int = 15) -> tuple[np.ndarray, float]:
     """Dual coordinate descent for the hinge loss with box [0, cost_i]; a constant feature of 1 is the bias."""
     w, bias, alpha = np.zeros(dims), 0.0, np.zeros(len(y))
     square = np.array([float(v @ v) + 1.0 for v in values])
@@ -84,10 +100,11 @@ def descend(rows: list[np.ndarray], values: list[np.ndarray], y: np.ndarray, cos
     for _ in range(rounds):
         most = 0.0
         for i in order.permutation(len(y)):
-            g = y[i] * (float(w[rows[i]] @ values[i]) + bias) - 1.0
+            v = values[i]
+            g = y[i] * (float(w[rows[i]] @ v) + bias) - 1.0
             new = min(max(alpha[i] - g / square[i], 0.0), cost[i])
             if (d := (new - alpha[i]) * y[i]) != 0.0:
-                w[rows[i]] += d * values[i]
+                w[rows[i]] += d * v
                 bias += d
                 most = max(most, abs(d))
                 alpha[i] = new
@@ -107,15 +124,7 @@ def ratios(rows: list[np.ndarray], y: np.ndarray, smooth: float = 1.0) -> np.nda
 
 def fit_linear(rows: list[np.ndarray], y: np.ndarray, c: float) -> Model:
     ratio = ratios(rows, y)
-    # one block of memory for all rows, so that it is given back whole
-    flat, values, at = np.empty(sum(map(len, rows)), dtype=np.float32), [], 0
-    for r in rows:
-        v = ratio[r]
-        n = float(v @ v) ** 0.5
-        values.append(flat[at : at + len(r)])
-        values[-1][:] = v / n if n else v
-        at += len(r)
-    w, bias = descend(rows, values, y, np.full(len(y), c), 1 << BITS)
+    w, bias = descend(rows, Scaled(rows, ratio), y, np.full(len(y), c), 1 << BITS)
     return Model((ratio * w).astype(np.float32), (ratio * ratio).astype(np.float32), bias, 1.0, 0.0)
 
 
@@ -176,9 +185,30 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     kind = docs.schema[id_col].dataType.simpleString()
     # repeated ids would lengthen the sample: one row of each id
     found = texts.mapInArrow(features, f"`{id_col}` {kind}, label int, idx binary").groupBy(id_col).agg(F.first("label").alias("label"), F.min("idx").alias("idx"))
-    got = found.toArrow().sort_by(id_col)  # bounded by max_rows
-    rows = [np.frombuffer(v.as_buffer(), dtype=np.int32) for chunk in got.column("idx").chunks for v in chunk]
-    return fit(rows, got.column("label").to_pylist())
+    got = found.toArrow()  # bounded by max_rows
+    # rows stay where they are, in the order of ids: a sorted table would be a second copy
+    order = pc.sort_indices(got.column(id_col)).to_pylist()
+    every, quality = [r for chunk in got.column("idx").chunks for r in views(chunk)], got.column("label").to_pylist()
+    model = fit([every[i] for i in order], [quality[i] for i in order])
+    del got, every
+    give_back()
+    return model
+
+
+def views(values: pa.Array) -> list[np.ndarray]:
+    """The integers of each binary value where they are (a value taken by itself is a copy)."""
+    values = values.cast(pa.large_binary())
+    _, offsets, data = values.buffers()
+    at = np.frombuffer(offsets or bytes(8), dtype=np.int64)[values.offset : values.offset + len(values) + 1]
+    whole = np.frombuffer(data or b"", dtype=np.uint8)
+    return [whole[a:b].view(np.int32) for a, b in zip(at[:-1], at[1:])]
+
+
+def give_back() -> None:
+    """Freed memory goes to the system: what runs after a fit has the driver's memory, and the C library would keep it."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
 
 
 def quality_scores(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.7, keep: list[str] | None = None) -> DataFrame:
