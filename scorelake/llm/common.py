@@ -10,7 +10,9 @@ Conventions that hold for every operator of this subpackage:
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
+from functools import wraps
 from pathlib import Path
 
 import pyarrow as pa
@@ -78,6 +80,24 @@ def merged(docs: DataFrame, **results: Column) -> DataFrame:
     return docs.withColumns(results)
 
 
+def give_back() -> None:
+    """Freed memory goes to the system: a driver or a worker has more to run, and the C library would keep it."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
+def gives_back(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]):
+    """run, with its memory given back at a task's end: workers wait for other tasks beside an executor's heap."""
+
+    @wraps(run)
+    def all_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        give_back()
+
+    return all_of
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: int, most_bytes: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """The batches cut into runs of rows with about most_bytes of text each (one row at least), so memory stays bounded."""
     for batch in batches:

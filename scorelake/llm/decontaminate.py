@@ -22,7 +22,8 @@ nothing; a document shorter than an item has one window, itself; repeated rows a
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import computed, cut_lineage, hash128, join_spread, lower_ascii
@@ -82,16 +83,26 @@ def choose_anchors(words: list[str], frequency: dict[str, int]) -> list[str]:
     return out
 
 
+#: Types of the columns of a block's tables.
+_TYPES = {"word": pa.string(), "item": pa.int32(), "words": pa.list_(pa.string()), "item_words": pa.list_(pa.string()), "anchors": pa.list_(pa.string())}
+
+
+def local_table(spark: SparkSession, columns: dict[str, list]) -> DataFrame:
+    """A table of a block in the plan itself. A list of rows would start Python workers on the executors to convert it, which
+    then wait there beside the heap."""
+    return spark.createDataFrame(pa.table({name: pa.array(values, _TYPES[name]) for name, values in columns.items()}))
+
+
 def _matches(texts: DataFrame, items: list[tuple[int, list[str]]]) -> DataFrame:
     """h1, h2, item, similarity for texts (h1, h2, words) and one block of items (number, words)."""
     spark = texts.sparkSession
-    vocabulary = spark.createDataFrame([(w,) for w in sorted({w for _, ws in items for w in ws})], "word string")
+    vocabulary = local_table(spark, {"word": sorted({w for _, ws in items for w in ws})})
     counted = texts.select(F.explode("words").alias("word")).join(F.broadcast(vocabulary), "word").groupBy("word").count()
     frequency = {r["word"]: r["count"] for r in counted.collect()}  # at most the words of a block
     chosen = [(number, words, choose_anchors(words, frequency)) for number, words in items]
     anchors = sorted({a for *_, own in chosen for a in own})
     longest = max(len(words) for _, words in items)
-    table = spark.createDataFrame(chosen, "item int, item_words array<string>, anchors array<string>")
+    table = local_table(spark, dict(zip(("item", "item_words", "anchors"), zip(*chosen))))
     table = table.withColumn("own", F.array_distinct(shingles_of(F.col("item_words")))).withColumns({"need": weight(F.col("own")), "mark": simhash(F.col("own")), "n": F.size("item_words")})
     by_anchor = table.select("item", "n", "anchors", "own", "need", F.explode("anchors").alias("word"))
     masks = sorted({a | b for a in (0, *(1 << k for k in range(8))) for b in (0, *(1 << k for k in range(8)))})
@@ -101,7 +112,7 @@ def _matches(texts: DataFrame, items: list[tuple[int, list[str]]]) -> DataFrame:
 
     # one word of each text at a time meets the anchors; what lies about a place is cut out only where one is met
     words = F.col("words")
-    known = spark.createDataFrame([(a,) for a in anchors], "word string")
+    known = local_table(spark, {"word": anchors})
     start = F.greatest(F.col("pos") - (longest - 1), F.lit(0))
     places = texts.select("h1", "h2", words, F.posexplode(words).alias("pos", "word")).join(F.broadcast(known), "word")
     places = places.select("h1", "h2", "word", "pos", start.alias("start"), F.slice(words, start + 1, F.col("pos") - start + longest).alias("region"))
@@ -159,7 +170,7 @@ def matching_texts(docs: DataFrame, items: DataFrame, text_col: str = "text", it
         block = [(k, list(r["words"])) for k, r in enumerate(sorted(rows, key=lambda r: list(r["words"])))]
         if not block:
             continue
-        numbered = spark.createDataFrame(block, "item int, words array<string>").withColumn("item_hash", F.xxhash64("words", F.lit(1)))
+        numbered = local_table(spark, dict(zip(("item", "words"), zip(*block)))).withColumn("item_hash", F.xxhash64("words", F.lit(1)))
         keyed.append(numbered.select("item", "item_hash", "words"))
         match = _matches(texts, block).join(F.broadcast(numbered.select("item", "item_hash", "words")), "item").drop("item")
         out = match if out is None else out.unionByName(match)

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut_lineage, slices
+from .common import cut_lineage, gives_back, slices
 from .components import components
 
 #: Shingle length in words, similarity (a ratio of integers), and the largest boundary that the cost may choose.
@@ -42,6 +42,8 @@ WORDS, NEED, OF, LIGHT = 5, 80, 100, 12
 COUNTER_BYTES, LEAST_COUNTERS, MOST_COUNTERS = 128, 1 << 16, 1 << 26
 #: Candidate documents whose ids, or classes whose components, are broadcast at most; beyond, shuffle joins find them.
 MOST_BROADCAST = 1_000_000
+#: Bytes of text that are hashed at a time (one text at least): about 50 bytes of memory for each.
+HASHED = 1 << 19
 
 _K1, _K2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 _P, _S32 = 0x9E3779B97F4A7C15, np.uint64(32)
@@ -58,7 +60,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of an odd number and of its inverse modulo 2^64, at least n of each."""
     if len(_POWERS[0]) < n:
         for k, base in enumerate((_P, pow(_P, -1, 1 << 64))):
-            steps = np.full(max(n, 1 << 21), base, dtype=np.uint64)
+            steps = np.full(max(n, 2 * HASHED), base, dtype=np.uint64)
             steps[0] = 1
             _POWERS[k] = np.multiply.accumulate(steps)
     return _POWERS[0], _POWERS[1]
@@ -148,10 +150,11 @@ def octaves(table: np.ndarray) -> np.ndarray:
 def profile(size: int):
     """Class and size of each row, and at a task's end its part of the frequency table, in slices."""
 
+    @gives_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, names = np.zeros(size, dtype=np.uint32), ["id", "n", "hi", "lo", "slice", "counts"]
         kind = None
-        for batch in slices(batches, 1):
+        for batch in slices(batches, 1, HASHED):
             kind = batch.column(0).type
             sets = shingle_sets([t or "" for t in batch.column(1).to_pylist()])
             sign = [signature(s) for s in sets]
@@ -199,9 +202,10 @@ def entries(frequency, size: int, boundary: int):
     """(key, hi, n, pos) of each class: its subsets (pos -1) if light, its prefix in the global order if it can be heavy's."""
     smallest = least(boundary + 1)
 
+    @gives_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, seen = frequency.value, set()
-        for batch in slices(batches, 0):
+        for batch in slices(batches, 0, HASHED):
             keys, his, ns, positions = [], [], [], []
             for s in shingle_sets([t or "" for t in batch.column(0).to_pylist()]):
                 n = len(s)
@@ -238,8 +242,9 @@ def entries(frequency, size: int, boundary: int):
     return run
 
 
+@gives_back
 def whole_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches, 1):
+    for batch in slices(batches, 1, HASHED):
         sets = shingle_sets([t or "" for t in batch.column(1).to_pylist()])
         sign = [signature(s) for s in sets]
         yield pa.RecordBatch.from_arrays(
@@ -248,6 +253,7 @@ def whole_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+@gives_back
 def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (u, v, x, y) whose sets x and y link, as (u, v)."""
     for batch in (b.slice(at, 256) for b in batches for at in range(0, b.num_rows, 256)):

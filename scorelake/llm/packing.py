@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import gives_back, slices
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -117,6 +117,7 @@ def pack(
     buckets = total // bucket_bytes + 1
     kind = named.schema["doc_id"].dataType.simpleString()
 
+    @gives_back
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 

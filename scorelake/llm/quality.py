@@ -13,7 +13,6 @@ count; with labels of one class or none, every score is that class's (1.0 with n
 
 from __future__ import annotations
 
-import ctypes
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -23,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import give_back, gives_back, slices
 
 #: Hashed dimensions; lengths of the byte n-grams and of the shape n-grams; labelled rows that a fit takes at most;
 #: indicators at which a text's own evidence weighs as much as the classes' shares.
@@ -177,6 +176,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     # bounded: max_rows rows of an id and a label
     texts = docs.select(id_col, text_col).join(F.broadcast(sample), id_col)
 
+    @gives_back
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1):
             idx = [indicators(t or "").tobytes() for t in batch.column(1).to_pylist()]
@@ -204,18 +204,12 @@ def views(values: pa.Array) -> list[np.ndarray]:
     return [whole[a:b].view(np.int32) for a, b in zip(at[:-1], at[1:])]
 
 
-def give_back() -> None:
-    """Freed memory goes to the system: what runs after a fit has the driver's memory, and the C library would keep it."""
-    pa.default_memory_pool().release_unused()
-    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
-        trim(0)
-
-
 def quality_scores(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.7, keep: list[str] | None = None) -> DataFrame:
     """The columns keep (all, if None) with score and predicted."""
     kept = docs.select(*(c for c in (keep or docs.columns) if c not in ("score", "predicted")), F.col(text_col).alias("__text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:-1])
 
+    @gives_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             last = batch.num_columns - 1
